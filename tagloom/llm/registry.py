@@ -7,6 +7,9 @@ from importlib import import_module
 #: Module and query of each operator.
 _QUERIES = {
     "token_files": ("op3_token_files",),
+    "quality": ("op1_quality",),
+    "language_id": ("op8_language_id",),
+    "media_audio": ("op4_media_audio",),
     "chat_format": ("op2_chat_format",),
 }
 

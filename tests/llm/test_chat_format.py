@@ -1,12 +1,13 @@
 import hashlib
 
 import pyarrow as pa
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tagloom.llm import chat_format as c
 
 
+@settings(deadline=None)
 @given(st.lists(st.text(alphabet="<|\\>turndsay é\n", max_size=20), max_size=6))
 def test_escape_is_reversible_and_assembly_parses(texts):
     out, at, _ = c.assemble(c.escape(pa.array(["<|r"] * len(texts), pa.string())), c.escape(pa.array(texts, pa.string())))
