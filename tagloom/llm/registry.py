@@ -7,6 +7,7 @@ from importlib import import_module
 #: Module and query of each operator.
 _QUERIES = {
     "token_files": ("op3_token_files",),
+    "decontaminate": ("op10_decontaminate",),
     "quality": ("op1_quality",),
     "language_id": ("op8_language_id",),
     "media_audio": ("op4_media_audio",),
