@@ -7,6 +7,7 @@ from importlib import import_module
 #: Module and query of each operator.
 _QUERIES = {
     "token_files": ("op3_token_files",),
+    "html_text": ("op9_html_text",),
     "ngram_join": ("op6_ngram_join",),
     "decontaminate": ("op10_decontaminate",),
     "quality": ("op1_quality",),
