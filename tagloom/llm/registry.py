@@ -7,6 +7,8 @@ from importlib import import_module
 #: Module and query of each operator.
 _QUERIES = {
     "token_files": ("op3_token_files",),
+    "license_scan": ("op5_license_scan",),
+    "mixing": ("op7_mixing",),
     "html_text": ("op9_html_text",),
     "ngram_join": ("op6_ngram_join",),
     "decontaminate": ("op10_decontaminate",),
