@@ -27,7 +27,7 @@ from .common import materialize, prepare, table, text_bytes, word_hashes, word_s
 
 GRADES, GOOD = 3, 2
 BUCKETS = 1 << 18
-SAMPLE, STEPS, RATE, RIDGE, SCALE = 2500, 150, 0.1, 1e-5, 20.0
+SAMPLE, STEPS, RATE, RIDGE, SCALE = 2500, 200, 0.1, 1e-4, 60.0
 CUT = 0.5
 SLICE = 2 << 20
 
@@ -155,7 +155,7 @@ SCORED = "expected_grade double, p_not_toxic double, p_good double, keep boolean
 
 
 def score(docs: DataFrame, model: Model | None, keep_columns: bool = False) -> DataFrame:
-    """doc_id and SCORED for every row; with keep_columns, after all columns of docs."""
+    """doc_id and SCORED for every row; with keep_columns, prefixed by __, after all columns of docs."""
     prepare(docs.sparkSession)
     kept = docs if keep_columns else docs.select("doc_id", "text")
     at = kept.columns.index("text")
@@ -177,12 +177,12 @@ def score(docs: DataFrame, model: Model | None, keep_columns: bool = False) -> D
     new = [x.split() for x in SCORED.split(", ")]
     schema = ", ".join(f"{a} {b}" for a, b in zip([*names, *(f"c{len(names) + i}" for i in range(4))], [*kinds, *(b for _, b in new)], strict=True))
     out = kept.mapInArrow(run, schema)
-    return out.toDF(*(kept.columns if keep_columns else ["doc_id"]), *(a for a, _ in new))
+    return out.toDF(*(kept.columns if keep_columns else ["doc_id"]), *("__" * keep_columns + a for a, _ in new))
 
 
 def select_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier keeps, with their own columns."""
-    return score(docs, fit(docs, labels), keep_columns=True).where("keep").select(*docs.columns)
+    return score(docs, fit(docs, labels), keep_columns=True).where("__keep").select(*docs.columns)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
