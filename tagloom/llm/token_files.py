@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,49 +98,101 @@ class Dac:
         return out
 
 
-#: A space before one of these is the last of its run of white space, so the byte-level pre-tokenizer always starts a piece there.
-_SOLID = "!-~¡-ᙿᚁ-῿⁠-⿿、-\U0010ffff"
-_LOOSE = re.compile(f" (?![{_SOLID}])")
-_SPLIT = re.compile(f" (?=[{_SOLID}])")
+#: A space or newline before one of these is the last of its run of white space; the byte-level pre-tokenizer starts a piece there.
+_SOLID = "!-~\u00a1-\u167f\u1681-\u1fff\u2060-\u2fff\u3001-\U0010ffff"
+_LOOSE_SPACE, _LOOSE_LINE = re.compile(f" (?![{_SOLID}])"), re.compile(f"\n(?![{_SOLID}])")
+_SPLIT = re.compile(f"(?=[ \n][{_SOLID}])")
+#: White space, or what some call so, inside a part.
+_INSIDE = re.compile(r"[\s\x1c-\x1f\x85]")
+#: Marks that form a piece of their own after a letter or digit (an apostrophe might start a contraction).
+_MARKS = ".,!?;:*$%&#|"
 
 
 class PieceEncoder:
-    """Encodes whole texts with a byte-level BPE tokenizer, each distinct space-led piece once.
+    """Encodes whole texts with a byte-level BPE tokenizer, each distinct part once.
 
-    BPE never merges across pieces of the pre-tokenizer, and a piece starts at every space before a solid character; so the
-    ids of a text are those of its parts, and parts repeat.  The memo is bounded; longer parts are encoded each time.
+    BPE never merges across pieces of the pre-tokenizer, and a piece starts at every space or newline before a solid
+    character; so the ids of a text are those of its parts, and parts repeat.  Of a part that is not known yet, trailing marks
+    are a piece too, so its stem may be known.  A part that follows a space is kept without it.  The memo is bounded; longer
+    parts are encoded each time.
     """
 
-    KEEP, LONGEST = 300_000, 48
+    KEEP, LONGEST = 600_000, 48
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        size = self.tokenizer.get_vocab_size()
+        self.leads = np.array([(self.tokenizer.id_to_token(i) or "")[:1] in ("\u0120", "\u010a") for i in range(size)])
         self.known: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def _ids(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+
+    def _led(self, parts: list[str]) -> list[bytes]:
+        """The ids of parts that follow a space, or start with a newline, encoded as one text and cut where pieces so start."""
+        plain = [w for w in parts if not _INSIDE.search(w, 1)]
+        odd = [w for w in parts if _INSIDE.search(w, 1)]
+        led = lambda w: w if w[0] == "\n" else " " + w
+        out = dict(zip(odd, self._ids([led(w) for w in odd]), strict=True)) if odd else {}
+        for a in range(0, len(plain), 2000):
+            some = plain[a : a + 2000]
+            ids = np.array(self.tokenizer.encode("".join(map(led, some)), add_special_tokens=False).ids, "<u4")
+            cut = [*(4 * np.flatnonzero(self.leads[ids])).tolist(), 4 * len(ids)]
+            if len(cut) != len(some) + 1:
+                raise ValueError("parts do not match their pieces")
+            raw = ids.tobytes()
+            out.update(zip(some, map(raw.__getitem__, map(slice, cut[:-1], cut[1:])), strict=True))
+        return [out[w] for w in parts]
+
+    def _one(self, part: str, memo: dict[str, bytes]) -> bytes:
+        """A part that follows nothing: a text's first, or trailing marks."""
+        got = memo.get(part)
+        if got is None:
+            got = self._ids([part])[0]
+            if len(part) <= self.LONGEST and len(memo) < self.KEEP // 8:
+                memo[part] = got
+        return got
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """The ids of parts that are not known."""
+        known, stems = self.known, {}
+        for w in new:
+            stem = w.rstrip(_MARKS)
+            if len(stem) < len(w) and stem and stem[-1].isalnum():
+                stems[w] = stem
+        ask = [w for w in new.difference(stems).union(stems.values()) if w not in known]
+        got = dict(zip(ask, self._led(ask), strict=True)) if ask else {}
+        for w, stem in stems.items():
+            got[w] = (got.get(stem) or known[stem]) + self._one(w[len(stem) :], self.tails)
+        return got
 
     def __call__(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        parts = _SPLIT.split(text) if _LOOSE.search(text) else text.split(" ")
-        first = self._ids([parts[0]])[0]
+        if _LOOSE_SPACE.search(text) or _LOOSE_LINE.search(text):
+            parts = [p[1:] if k and p[0] == " " else p for k, p in enumerate(_SPLIT.split(text))]
+        else:
+            parts = text.replace("\n", " \n").split(" ")
+        first = self._one(parts[0], self.heads) if parts[0] else b""
         del parts[0]
-        new = list(set(parts).difference(self.known))
         known = self.known
+        new = set(parts).difference(known)
         if new:
             if len(known) + len(new) > self.KEEP:
                 known.clear()
-                new = list(set(parts))
-            ids = dict(zip(new, self._ids([" " + w for w in new]), strict=True))
-            known.update(x for x in ids.items() if len(x[0]) <= self.LONGEST)
-            if len(new) > self.KEEP or any(len(w) > self.LONGEST for w in new):
-                ids |= {w: known[w] for w in set(parts) if w in known}
-                known = ids
+                new = set(parts)
+            got = self._learn(new)
+            if len(new) > self.KEEP or max(map(len, got)) > self.LONGEST:  # for this text only
+                known.update(x for x in got.items() if len(x[0]) <= self.LONGEST and len(new) <= self.KEEP)
+                known = known | got
+            else:
+                known.update(got)
         return first + b"".join(map(known.__getitem__, parts))
 
 

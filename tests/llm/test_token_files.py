@@ -32,6 +32,13 @@ def test_pieces_equal_whole_texts(text):
     assert np.frombuffer(ENCODE(text), "<u4").tolist() == plain(text)
 
 
+def test_memo_that_overflows():
+    small = PieceEncoder(PATH)
+    small.KEEP = 5
+    for text in ("a b c d, e. f g\nh!! i j", "a b " + "x" * 99 + ", z", "q w e r t y u i o p.", "a b"):
+        assert np.frombuffer(small(text), "<u4").tolist() == plain(text)
+
+
 def test_files_against_brute_force(spark, tmp_path):
     texts = {3: "one two  three\n four ", 1: None, 2: "", 9: "x" * 500, 4: "a b " * 900, 7: "<|endoftext|> été", None: "null id"}
     docs = spark.createDataFrame([(k, v, "q") for k, v in texts.items()], "doc_id long, text string, payload string")
