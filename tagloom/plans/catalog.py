@@ -70,7 +70,7 @@ class Catalog:
         return replace(self, defs=self.defs | {d.name: d for d in defs})
 
 
-_KINDS = {T.StringType: "string", T.LongType: "integer", T.IntegerType: "integer", T.ShortType: "integer", T.ByteType: "integer", T.DoubleType: "double", T.FloatType: "double", T.BooleanType: "boolean", T.TimestampType: "integer", T.DateType: "integer"}
+_KINDS = {T.StringType: "string", T.LongType: "integer", T.IntegerType: "integer", T.ShortType: "integer", T.ByteType: "integer", T.DoubleType: "double", T.FloatType: "double", T.BooleanType: "boolean", T.TimestampType: "integer", T.TimestampNTZType: "integer", T.DateType: "integer"}
 
 
 def from_table(df: DataFrame, kind: str, key: str | Column, rank: int = 0, tags: DataFrame | None = None, now: datetime | None = None) -> Catalog:
@@ -81,7 +81,7 @@ def from_table(df: DataFrame, kind: str, key: str | Column, rank: int = 0, tags:
         if not t:
             continue
         c = F.col(f.name)
-        time = isinstance(f.dataType, (T.TimestampType, T.DateType))
+        time = isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
         c = F.unix_seconds(c.cast("timestamp")) if time else c.cast({"integer": "long"}.get(t, t))
         columns.append(c.alias(f.name))
         defs[f.name] = TagDef(f.name, t, f.name, date=time)
