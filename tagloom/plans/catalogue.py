@@ -188,3 +188,180 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["w_top"] = Query(members, "SELECT o_orderpriority AS key0, CAST(row_number() OVER w - 1 AS INT) AS n, o_orderkey AS item_id, count(*) OVER (PARTITION BY o_orderpriority) AS item_count FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderkey DESC) QUALIFY row_number() OVER w <= 100")
+
+
+# --- Storage, edits, incremental indexing ----------------------------------------------------------------------------
+
+
+def user_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small long table over orders: a grade for urgent ones, several labels for some, a user's rank for a few."""
+    from .catalog import LABELS
+
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item_id"), "o_orderpriority", "o_orderstatus")
+    none = {v: F.lit(None).cast({"label_int": "long", "label_double": "double", "label_bool": "boolean"}.get(v, "string")) for v in LABELS.values()}
+
+    def rows(df: DataFrame, name: str, column: str, value) -> DataFrame:
+        return df.select("item_id", F.lit(name).alias("type"), *((value if v == column else none[v]).alias(v) for v in LABELS.values()))
+
+    urgent = rows(o.where("o_orderpriority = '1-URGENT'"), "grade", "label_str", F.lit("hot"))
+    status = rows(o.where("item_id % 2 = 0"), "grade", "label_str", F.col("o_orderstatus"))
+    rank = rows(o.where("item_id % 100 = 0"), "rank", "label_int", F.lit(7).cast("long"))
+    score = rows(o.where("item_id % 3 = 0"), "score", "label_int", (F.col("item_id") % 10).cast("long"))
+    return urgent.unionByName(status).unionByName(rank).unionByName(score)
+
+
+_GRADES = "(SELECT o_orderkey AS i, 'hot' AS g FROM orders WHERE o_orderpriority = '1-URGENT' UNION SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0)"
+
+
+def tagged(key: str, query: str, sql: str, **how) -> None:
+    """Register a query over orders with user tags in the long form."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = Engine(catalog(spark, sf_dir, "orders", user_tags(spark, sf_dir))).query(query, **how)
+        return found.df.select("item_id") if found.kind == "items" else found.df
+
+    QUERIES[key] = Query(run, sql)
+
+
+tagged("long_match", "grade:hot & score: :> 4", f"SELECT DISTINCT i AS item_id FROM {_GRADES} WHERE g = 'hot' AND i % 3 = 0 AND i % 10 > 4")
+tagged("long_in", "grade:hot | grade:F", f"SELECT DISTINCT i AS item_id FROM {_GRADES} WHERE g IN ('hot', 'F')")
+tagged("long_group", "grade: &: sum(o_totalprice:)", f"SELECT g AS key0, sum(o_totalprice) AS nvalue, count(*) AS item_count FROM {_GRADES} JOIN orders ON o_orderkey = i GROUP BY g")
+tagged("long_multi", "grade: &: o_orderstatus: &: count()", f"SELECT g AS key0, o_orderstatus AS key1, CAST(count(*) AS DOUBLE) AS nvalue, count(*) AS item_count FROM (SELECT i, max(g) AS g FROM {_GRADES} GROUP BY i) JOIN orders ON o_orderkey = i GROUP BY 1, 2")
+tagged("long_having", "grade: &: (count() > 100)", f"SELECT DISTINCT i AS item_id FROM {_GRADES} WHERE g IN (SELECT g FROM {_GRADES} GROUP BY g HAVING count(*) > 100)")
+tagged("long_labels", "grade: & o_orderstatus:", f"SELECT g AS key0, count(DISTINCT i) AS item_count FROM (SELECT * FROM {_GRADES} UNION SELECT o_orderkey, o_orderstatus FROM orders) WHERE g IN (SELECT g FROM {_GRADES} INTERSECT SELECT o_orderstatus FROM orders) GROUP BY g")
+tagged("long_count", "count(grade:)", f"SELECT count(DISTINCT g) AS value, 'integer' AS bitical_type FROM {_GRADES}")
+QUERIES["e_eval_tags"] = Query(lambda spark, sf_dir: Engine(catalog(spark, sf_dir, "orders", user_tags(spark, sf_dir))).query("q(grade:) & o_orderstatus:F").df.select("item_id"), f"SELECT DISTINCT i AS item_id FROM {_GRADES} JOIN orders ON o_orderkey = i WHERE o_orderstatus = 'F'")
+tagged("m_tag", 'tag:"grade:*"', f"SELECT DISTINCT CAST(NULL AS BIGINT) AS item_id, 'grade:' || g AS name, 'tag' AS item_kind, 0 AS rank, 'user' AS origin FROM {_GRADES}")
+tagged("m_type_exact", "type:unused_type", "SELECT CAST(NULL AS BIGINT) AS item_id, 'unused_type' AS name, 'type' AS item_kind, 0 AS rank, 'user' AS origin")
+tagged("n_types", "type:", "SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority', 'item_id', 'item_kind', 'rank', 'origin', 'grade', 'score']) AS key0, unnest([n, n, n, n, n, n, n, n, n, n, g, s]) AS item_count FROM (SELECT (SELECT count(*) FROM orders) AS n, (SELECT count(DISTINCT i) FROM " + _GRADES + ") AS g, (SELECT count(*) FROM orders WHERE o_orderkey % 3 = 0) AS s)")
+
+
+def view_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, items and rank sum of each type in the long view of orders and their user tags."""
+    from ..operators.oneview import oneview
+
+    c = catalog(spark, sf_dir, "orders")
+    view = oneview(c.items, [d for d in c.defs.values() if d.name in ("o_orderstatus", "o_totalprice", "o_custkey")], user_tags(spark, sf_dir))
+    return view.groupBy("type", "origin").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("item_id").alias("items"), F.sum("rank").alias("ranks"))
+
+
+_RANK = "CASE WHEN i % 100 = 0 THEN 7 ELSE 0 END"
+QUERIES["s_oneview"] = Query(view_counts, f"SELECT type, origin, count(*) AS n, count(DISTINCT i) AS items, CAST(sum({_RANK}) AS BIGINT) AS ranks FROM (SELECT unnest(['o_orderstatus', 'o_totalprice', 'o_custkey']) AS type, 'file' AS origin, o_orderkey AS i FROM orders UNION ALL SELECT 'grade', 'user', o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT 'grade', 'user', o_orderkey FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'rank', 'user', o_orderkey FROM orders WHERE o_orderkey % 100 = 0 UNION ALL SELECT 'score', 'user', o_orderkey FROM orders WHERE o_orderkey % 3 = 0) GROUP BY 1, 2")
+
+
+def tag_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The computed tag texts of regions and nations."""
+    from ..operators.oneview import oneview
+
+    c = catalog(spark, sf_dir, "nation")
+    return oneview(c.items, list(c.defs.values())).select("item_id", "tag")
+
+
+QUERIES["s_tag_text"] = Query(tag_texts, "SELECT n_nationkey AS item_id, 'n_nationkey:' || n_nationkey AS tag FROM nation UNION ALL SELECT n_nationkey, 'n_name:' || n_name FROM nation UNION ALL SELECT n_nationkey, 'n_regionkey:' || n_regionkey FROM nation")
+
+
+def preferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One grade an order: the user's, else the order's status."""
+    from ..operators.oneview import oneview, prefer
+
+    c = catalog(spark, sf_dir, "orders")
+    view = oneview(c.items, [c.defs["o_orderstatus"]], user_tags(spark, sf_dir))
+    return prefer(view, "grade", "o_orderstatus").select("item_id", F.col("label_str").alias("grade"))
+
+
+QUERIES["s_prefer"] = Query(preferred, f"SELECT o_orderkey AS item_id, coalesce(g, o_orderstatus) AS grade FROM orders LEFT JOIN (SELECT i, min(g) AS g FROM {_GRADES} GROUP BY i) ON i = o_orderkey")
+
+
+def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key replacement: new prices for every tenth order, and only old rows of open or finished orders are kept."""
+    from ..operators.merge import key_replace
+
+    old = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    new = old.where("o_orderkey % 10 = 0").withColumn("o_totalprice", F.col("o_totalprice") * 2)
+    return key_replace(old, new, "o_orderkey", F.col("o_orderstatus") != "P")
+
+
+QUERIES["k_merge"] = Query(merged, "SELECT o_orderkey, o_orderstatus, o_totalprice * 2 AS o_totalprice FROM orders WHERE o_orderkey % 10 = 0 UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 10 <> 0 AND o_orderstatus <> 'P'")
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored files, removed files and a later scan, made from parts: every 5th moved, 7th grown, 11th gone, 13th returned."""
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("dir"), F.col("p_size").cast("long").alias("size"))
+    row = lambda df, d: df.select((F.lit(8) * F.lit(1 << 58) + F.col("k")).alias("item_id"), F.lit(0).cast("long").alias("rank"), F.concat(d, F.lit("/"), F.col("k").cast("string")).alias("path"), d.alias("parentdir"), F.col("k").cast("string").alias("filename"), F.col("k").cast("string").alias("stem"), F.lit(None).cast("string").alias("extension"), F.concat(F.lit("f"), F.col("k").cast("string")).alias("file_id"), F.lit(False).alias("is_dir"), "size", F.lit(1000).cast("long").alias("mtime"))
+    from ..operators.incremental import with_hashes
+
+    files = row(p.where("k % 3 <> 0 AND k % 13 <> 0"), F.col("dir"))
+    removed = with_hashes(row(p.where("k % 13 = 0"), F.col("dir")))
+    now = p.where("k % 11 <> 0").withColumn("size", F.when(F.expr("k % 7 = 0 AND k % 13 <> 0"), F.col("size") + 1).otherwise(F.col("size")))
+    scan = row(now, F.when(F.expr("k % 5 = 0"), F.lit("moved")).otherwise(F.col("dir"))).drop("item_id", "rank")
+    return files, removed, scan
+
+
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the scan is for each file."""
+    from ..operators.incremental import diff
+
+    files, removed, scan = snapshots(spark, sf_dir)
+    d = diff(scan, files, removed)
+    part = lambda df, state: df.select("filename", F.lit(state).alias("state"))
+    by = files.select("item_id", "filename")
+    out = part(by.join(d.live, "item_id"), "live").unionByName(part(by.join(d.deleted, "item_id"), "deleted"))
+    for state in ("changed", "moved", "returned", "new"):
+        out = out.unionByName(part(getattr(d, state), state))
+    return out
+
+
+_STATES = "SELECT CAST(p_partkey AS VARCHAR) AS filename, CASE WHEN p_partkey % 11 = 0 THEN 'deleted' WHEN p_partkey % 13 = 0 THEN 'returned' WHEN p_partkey % 3 = 0 THEN 'new' WHEN p_partkey % 7 = 0 THEN 'changed' WHEN p_partkey % 5 = 0 THEN 'moved' ELSE 'live' END AS state FROM part WHERE p_partkey % 11 <> 0 OR p_partkey % 3 <> 0 AND p_partkey % 13 <> 0"
+QUERIES["i_diff"] = Query(changes, _STATES)
+
+
+def applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored files after the scan: ids stay with their files, new ones get new ids."""
+    from ..operators.incremental import apply, diff
+
+    files, removed, scan = snapshots(spark, sf_dir)
+    after = apply(files, diff(scan, files, removed), removed)
+    kept = after.join(files.select("item_id").unionByName(removed.select("item_id")), "item_id", "left_semi").select("path", "size", F.lit(True).alias("known"))
+    return kept.unionByName(after.join(files.select("item_id").unionByName(removed.select("item_id")), "item_id", "left_anti").select("path", "size", F.lit(False).alias("known")))
+
+
+QUERIES["i_apply"] = Query(applied, "SELECT CASE WHEN p_partkey % 5 = 0 THEN 'moved' ELSE p_brand END || '/' || p_partkey AS path, CAST(p_size + CASE WHEN p_partkey % 7 = 0 AND p_partkey % 13 <> 0 THEN 1 ELSE 0 END AS BIGINT) AS size, p_partkey % 3 <> 0 OR p_partkey % 13 = 0 AS known FROM part WHERE p_partkey % 11 <> 0")
+
+
+def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User tags after tagging by captures and untagging by a pattern."""
+    from ..operators import edit as E
+    from .catalog import LABELS
+
+    c = catalog(spark, sf_dir, "part")
+    hit = Engine(c).query("p_brand:Brand#*").df
+    caps = E.captures(c.items.join(hit.select("item_id"), "item_id", "left_semi").select("item_id", F.col("p_brand").alias("value")), "Brand#?*")
+    none = spark.createDataFrame([], "item_id long, type string, label_str string, label_int long, label_double double, label_bool boolean")
+    tags = E.tag(none, E.new_tags(hit, E.parse_edit("maker:{1} line:m{1}-{2}"), c, caps), c)
+    small = Engine(c).query("p_size: :< 10").df
+    tags = E.untag(tags, small, E.parse_edit("line:m1*"))
+    return tags.select("item_id", "type", F.coalesce("label_str", F.col("label_int").cast("string")).alias("label")).where(F.lit(bool(LABELS)))
+
+
+QUERIES["ed_captures"] = Query(edited, "SELECT p_partkey AS item_id, 'maker' AS type, substr(p_brand, 7, 1) AS label FROM part WHERE p_brand LIKE 'Brand#_%' UNION ALL SELECT p_partkey, 'line', 'm' || substr(p_brand, 7, 1) || '-' || substr(p_brand, 8) FROM part WHERE p_brand LIKE 'Brand#_%' AND NOT (p_size < 10 AND substr(p_brand, 7, 1) = '1')")
+
+
+def cast_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score tag moved to doubles."""
+    from ..operators.edit import cast_type
+
+    return cast_type(user_tags(spark, sf_dir), "score", "double").where("type = 'score'").select("item_id", "label_double")
+
+
+QUERIES["ed_cast"] = Query(cast_labels, "SELECT o_orderkey AS item_id, CAST(o_orderkey % 10 AS DOUBLE) AS label_double FROM orders WHERE o_orderkey % 3 = 0")
+
+
+def long_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same grouping with every attribute in the long form."""
+    from ..operators.oneview import long_catalog
+
+    c = long_catalog(catalog(spark, sf_dir, "orders"))
+    return Engine(c).query("o_orderstatus: &: o_orderpriority: &: sum(o_totalprice:)").df
+
+
+QUERIES["n_multi_long"] = Query(long_form, QUERIES["n_multi"].sql)

@@ -194,7 +194,11 @@ class Engine:
     def query(self, text: str, n: int = 0, offset: int = 0, order: tuple = (), members: bool = False) -> Result:
         """n = 0 gives everything, unordered; with n or an order, rows come by it, then by rank and id, both falling."""
         self.warnings = []
-        node = self.expand(parse(text))
+        tree = parse(text)
+        node = self.expand(tree)
+        if isinstance(tree, Calc) and isinstance(node, Lit):
+            one, kind = self.scalar(node)
+            return Result("scalar", one.select("value", F.lit(kind).alias("bitical_type")))
         found = self.run(node, members)
         df = found.df
         if found.kind == "items" and (n or offset or order):
@@ -345,7 +349,7 @@ class Engine:
 
     def is_scalar(self, x) -> bool:
         if isinstance(x, (Lit, Agg)):
-            return not (isinstance(x, Agg) and isinstance(x.body, Nest) and False)
+            return True
         return isinstance(x, Calc) and self.is_scalar(x.left) and self.is_scalar(x.right)
 
     def has_groups(self, x) -> bool:
