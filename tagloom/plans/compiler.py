@@ -277,6 +277,8 @@ class Engine:
         if isinstance(node, Calc):
             return self.fold(Calc(node.op, self.expand(node.left), self.expand(node.right)))
         if isinstance(node, Compare):
+            if any(isinstance(x, Lit) and x.text.endswith(":") and not x.quoted for _, x in node.rest):
+                self.warnings.append("what stands right of a stuck comparison is a text, not a projection")
             sides = [self.expand(node.first), *(self.expand(x) for _, x in node.rest)]
             pairs = [Compare(a, ((op, b),), node.scalar) for a, (op, _), b in zip(sides, node.rest, sides[1:], strict=False)]
             return reduce(lambda a, b: Set("&", a, b), pairs)
@@ -681,6 +683,8 @@ class Engine:
         if isinstance(x, Set):
             parts = _flat(x, x.op)
             proj = [p for p in parts if self.has_groups(p)]
+            if x.op == "&" and len(proj) > 1 and all(isinstance(p, Tag) for p in proj):
+                self.warnings.append("projections joined by & meet in their labels; &: groups by both")
             if x.op == "|" or x.op == "&" and len(proj) > 1 or x.op == "-" and len(proj) > 1:
                 return Result("groups", self.label_sets(x.op, parts))
         if isinstance(x, Tag) and x.type == "type":
