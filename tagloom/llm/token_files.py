@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import partitions, prepare, scratch, table
 
 SEGMENT = 1 << 18
+TOGETHER = 64  # texts whose new parts are encoded at once
 BLOCK = 512
 MAGIC = b"DAC1"
 
@@ -117,7 +118,7 @@ class PieceEncoder:
     parts are encoded each time.
     """
 
-    KEEP, LONGEST = 600_000, 48
+    KEEP, LONGEST = 900_000, 48
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -127,6 +128,7 @@ class PieceEncoder:
         size = self.tokenizer.get_vocab_size()
         self.leads = np.array([(self.tokenizer.id_to_token(i) or "")[:1] in ("\u0120", "\u010a") for i in range(size)])
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
 
@@ -135,13 +137,13 @@ class PieceEncoder:
 
     def _led(self, parts: list[str]) -> list[bytes]:
         """The ids of parts that follow a space, or start with a newline, encoded as one text and cut where pieces so start."""
-        plain = [w for w in parts if not _INSIDE.search(w, 1)]
-        odd = [w for w in parts if _INSIDE.search(w, 1)]
+        odd = {w for w in parts if _INSIDE.search(w, 1)}
+        plain = [w for w in parts if w not in odd] if odd else parts
         led = lambda w: w if w[0] == "\n" else " " + w
         out = dict(zip(odd, self._ids([led(w) for w in odd]), strict=True)) if odd else {}
         for a in range(0, len(plain), 2000):
             some = plain[a : a + 2000]
-            ids = np.array(self.tokenizer.encode("".join(map(led, some)), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(map(led, some))], add_special_tokens=False)[0].ids, "<u4")
             cut = [*(4 * np.flatnonzero(self.leads[ids])).tolist(), 4 * len(ids)]
             if len(cut) != len(some) + 1:
                 raise ValueError("parts do not match their pieces")
@@ -173,27 +175,36 @@ class PieceEncoder:
 
     def __call__(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if _LOOSE_SPACE.search(text) or _LOOSE_LINE.search(text):
-            parts = [p[1:] if k and p[0] == " " else p for k, p in enumerate(_SPLIT.split(text))]
-        else:
-            parts = text.replace("\n", " \n").split(" ")
-        first = self._one(parts[0], self.heads) if parts[0] else b""
-        del parts[0]
+        return self.many([text])[0]
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; what is new in any of them is encoded at once."""
+        split = []
+        for text in texts:
+            if text and (_LOOSE_SPACE.search(text) or _LOOSE_LINE.search(text)):
+                split.append([p[1:] if k and p[0] == " " else p for k, p in enumerate(_SPLIT.split(text))])
+            else:
+                split.append((text or "").replace("\n", " \n").split(" "))
+        heads = [self._one(parts[0], self.heads) if parts[0] else b"" for parts in split]
+        for parts in split:
+            del parts[0]
         known = self.known
-        new = set(parts).difference(known)
+        new = set().union(*split).difference(known)
         if new:
-            if len(known) + len(new) > self.KEEP:
-                known.clear()
-                new = set(parts)
-            got = self._learn(new)
-            if len(new) > self.KEEP or max(map(len, got)) > self.LONGEST:  # for this text only
-                known.update(x for x in got.items() if len(x[0]) <= self.LONGEST and len(new) <= self.KEEP)
+            if len(known) + len(new) > self.KEEP // 2:  # start anew; what comes again is taken over from the former memo
+                self.old, self.known = known, {}
+                known, new = self.known, set().union(*split)
+            back = {w: self.old[w] for w in new if w in self.old}
+            known.update(back)
+            new.difference_update(back)
+            got = self._learn(new) if new else {}
+            if len(new) > self.KEEP // 2 or max(map(len, got), default=0) > self.LONGEST:  # for these texts only
+                known.update(x for x in got.items() if len(x[0]) <= self.LONGEST and len(new) <= self.KEEP // 2)
                 known = known | got
             else:
                 known.update(got)
-        return first + b"".join(map(known.__getitem__, parts))
+        get = known.__getitem__
+        return [head + b"".join(map(get, parts)) for head, parts in zip(heads, split, strict=True)]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -231,9 +242,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             ids.clear(), lens.clear(), parts.clear()
             return out
 
+        def encoded(column: pa.Array) -> Iterator[bytes]:
+            for a in range(0, len(column), TOGETHER):
+                yield from encode.many(column[a : a + TOGETHER].to_pylist())
+
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = encode(text) + end
+            for doc_id, got in zip(batch.column(0).to_pylist(), encoded(batch.column(1)), strict=True):
+                got += end
                 if held and held + len(got) // 4 > segment:
                     yield close()
                 ids.append(doc_id), lens.append(len(got) // 4), parts.append(got)
