@@ -27,8 +27,9 @@ from .common import materialize, prepare, table, text_bytes, word_hashes, word_s
 
 GRADES, GOOD = 3, 2
 BUCKETS = 1 << 18
-SAMPLE, STEPS, RATE, RIDGE, SCALE = 2500, 200, 0.1, 1e-4, 60.0
+SAMPLE, STEPS, RATE, RIDGE, SCALE = 2000, 200, 0.1, 1e-4, 60.0
 CUT = 0.5
+PASS = 500_000  # features at a time in fitting
 SLICE = 2 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -82,17 +83,23 @@ class Model:
 def train(bags: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, weight: np.ndarray) -> Model:
     """bags: distinct buckets and shares of each text. Weighted likelihood of the cumulative-link model, by Adam."""
     sizes = np.array([len(x[0]) for x in bags])
-    row = np.repeat(np.arange(len(bags)), sizes)
-    idx = np.concatenate([x[0] for x in bags]).astype(np.int64) if bags else np.zeros(0, np.int64)
-    used, idx = np.unique(idx, return_inverse=True)
-    val = np.concatenate([x[1] for x in bags]).astype(np.float64) * SCALE if bags else np.zeros(0)
+    idx = np.concatenate([x[0] for x in bags]) if bags else np.zeros(0, np.int32)
+    val = np.concatenate([x[1] for x in bags]).astype(np.float32) * np.float32(SCALE) if bags else np.zeros(0, np.float32)
+    place = np.zeros(BUCKETS, np.int32)
+    used = np.flatnonzero(np.bincount(idx, minlength=BUCKETS))
+    place[used] = np.arange(len(used))
+    idx = place[idx]
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    # Blocks of texts keep what is computed for each feature small.
+    cut = np.unique(np.searchsorted(at, np.arange(0, at[-1] + PASS, PASS)).clip(0, len(bags)))
+    blocks = [(a, b, idx[at[a] : at[b]], val[at[a] : at[b]], np.repeat(np.arange(b - a), sizes[a:b]).astype(np.int32)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     weight = weight / weight.sum()
     # Parameters: weights, first threshold, log gaps. The score has no bias of its own: thresholds hold it.
     p = np.zeros(len(used) + GRADES - 1)
-    m, v = np.zeros_like(p), np.zeros_like(p)
+    m, v2 = np.zeros_like(p), np.zeros_like(p)
     m_w = len(used)
     for step in range(1, STEPS + 1):
-        s = np.bincount(row, val * p[:m_w][idx], minlength=len(bags))
+        s = np.concatenate([np.bincount(row, v * p[i], minlength=b - a) for a, b, i, v, row in blocks])
         gaps = np.exp(p[m_w + 1 :])
         cuts = p[m_w] + np.concatenate([[0], np.cumsum(gaps)])
         upper = 1 / (1 + np.exp(-np.clip(np.append(cuts, np.inf)[grades] - s, -40, 40)))
@@ -106,9 +113,9 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, weight:
         np.add.at(g_cut, grades, -weight * du / like)
         np.add.at(g_cut, grades - 1, weight * dl / like)
         g_cut = g_cut[: GRADES - 1]
-        g = np.concatenate([np.bincount(idx, val * g_s[row], minlength=m_w) + RIDGE * p[:m_w], [g_cut.sum()], [gaps[k] * g_cut[k + 1 :].sum() for k in range(GRADES - 2)]])
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+        g = np.concatenate([sum(np.bincount(i, v * g_s[a:b][row], minlength=m_w) for a, b, i, v, row in blocks) + RIDGE * p[:m_w], [g_cut.sum()], [gaps[k] * g_cut[k + 1 :].sum() for k in range(GRADES - 2)]])
+        m, v2 = 0.9 * m + 0.1 * g, 0.999 * v2 + 0.001 * g * g
+        p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v2 / (1 - 0.999**step)) + 1e-9)
     weights = np.zeros(BUCKETS)
     weights[used] = p[:m_w]
     return Model(weights.astype(np.float32), 0.0, p[m_w] + np.concatenate([[0], np.cumsum(np.exp(p[m_w + 1 :]))]))
@@ -146,9 +153,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     if not len(rows):
         return None
     grades = rows["grade"].to_numpy(int)
+    bags_ = [(np.frombuffer(a, "<i4"), np.frombuffer(b, "<f4")) for a, b in zip(rows["idx"], rows["val"], strict=True)]
+    del rows
     n = np.bincount(grades, minlength=GRADES)
     weight = np.array([counts.get(k, 0) / max(1, n[k]) for k in range(GRADES)])[grades]
-    return train([(np.frombuffer(a, "<i4"), np.frombuffer(b, "<f4")) for a, b in zip(rows["idx"], rows["val"], strict=True)], grades, weight)
+    return train(bags_, grades, weight)
 
 
 SCORED = "expected_grade double, p_not_toxic double, p_good double, keep boolean"
