@@ -334,9 +334,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of every component: that of its least doc_id; rows without words all stay."""
-    kept = near_duplicates(docs).where("n_shingles = 0 OR doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("__id")).distinct()
-    stay = docs.join(_small(materialize(kept, "kept")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return stay.dropDuplicates(["doc_id", "text"]) if "text" in docs.columns else stay
+    kept = near_duplicates(docs).where("n_shingles = 0 OR doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("__id"))
+    kept = materialize(kept.groupBy("__id").agg(F.count("*").alias("__n")), "kept")
+    same = F.col("doc_id").eqNullSafe(F.col("__id"))
+    once = docs.join(_small(kept.where("__n = 1").select("__id")), same, "left_semi")
+    again = kept.where("__n > 1").select("__id")
+    if again.isEmpty():
+        return once
+    # Rows that repeat a doc_id: one of each text.
+    return once.unionByName(docs.join(_small(again), same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
