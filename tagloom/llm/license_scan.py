@@ -35,8 +35,8 @@ LICENSES = (
     ("gpl-3", "gpl 3 0 (?:only|or later)", "gnu general public licen[cs]e(?: as published by the free software foundation)?(?: either)? version 3(?: 0)?"),
     ("gpl-2", "gpl 2 0 (?:only|or later)", "gnu general public licen[cs]e(?: as published by the free software foundation)?(?: either)? version 2(?: 0)?"),
     ("gpl", "gpl 1 0", "gnu general public licen[cs]e"),
-    ("gpl-3", "gpl 3", "gpl ?v?(?:ersion)? ?3(?: 0)?"),
-    ("gpl-2", "gpl 2", "gpl ?v?(?:ersion)? ?2(?: 0)?"),
+    ("gpl-3", "gpl 3", "gpl(?: v ?| version ?| )3(?: 0)?"),
+    ("gpl-2", "gpl 2", "gpl(?: v ?| version ?| )2(?: 0)?"),
     ("lgpl-3", "lgpl 3 0 (?:only|or later)", "gnu lesser general public licen[cs]e version 3(?: 0)?"),
     ("lgpl-2.1", "lgpl 2 1 (?:only|or later)", "gnu (?:lesser|library) general public licen[cs]e version 2(?: [01])?"),
     ("lgpl", "lgpl 2 0", "gnu (?:lesser|library) general public licen[cs]e"),
@@ -70,6 +70,8 @@ LICENSES = (
     ("odbl", "odbl 1 0", "open (?:data commons open )?database licen[cs]e"),
     ("proprietary", "proprietary", "proprietary(?: and confidential)?(?: licen[cs]e| software)"),
     ("public-domain", "public domain", "public domain"),
+    # Names and versions written as one word are keywords of their own; so are parts of a name up to a space.
+    *((label, first + rest, first + rest) for label, name, n, more in (("gpl-3", "gpl", "3", "(?: 0)?"), ("gpl-2", "gpl", "2", "(?: 0)?"), ("lgpl-3", "lgpl", "3", "(?: 0)?"), ("lgpl-2.1", "lgpl", "2", "(?: [01])?"), ("agpl-3", "agpl", "3", "(?: 0)?"), ("apache-2", "apache", "2", "(?: 0)?")) for first, rest in ((f"{name}{n}", more), (f"{name}v{n}", more), (f"{name}version{n}", more), (f"{name}v", f" {n}{more}"), (f"{name}version", f" {n}{more}"))),
 )
 
 #: Ways to state a license: priority, what stands before the name and after it.
@@ -107,7 +109,9 @@ def rules() -> list[tuple[str, int, str, str]]:
 
 #: One stem of each keyword group at least stands in any text that a rule or base phrase can match.
 def _gate() -> list[str]:
-    return sorted({k for k, *_ in rules()} - {"as", "all", "cc", "general"} | {"reserved", "general public", "cc by", "cc-by", "as is", "as-is"})
+    stems = {k for k, *_ in rules()} - {"as", "all", "cc", "general"}
+    shortest = {k for k in stems if not any(x != k and x in k for x in stems)}  # a text with gplv3 holds gpl
+    return sorted(shortest | {"reserved", "general public", "cc by", "cc-by", "as is", "as-is"})
 
 
 _UPPER, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

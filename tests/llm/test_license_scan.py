@@ -1,3 +1,5 @@
+import re
+
 import duckdb
 import pyarrow as pa
 
@@ -34,3 +36,38 @@ def test_against_sql(spark):
     assert by[10].labels == by[11].labels == by[17].labels == ""
     assert (by[77].first_word, by[77].n_words) == (30000, 30002)
     assert s.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def spellings(parsed):
+    """All texts that a parsed expression matches; one character stands for a negated set."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            one = [chr(arg)]
+        elif name == "IN":
+            one = [chr(v) for k, v in arg if str(k) == "LITERAL"] + [chr(v[0]) for k, v in arg if str(k) == "RANGE"] if str(arg[0][0]) != "NEGATE" else ["z"]
+        elif name == "MAX_REPEAT":
+            one = [x * k for x in spellings(arg[2]) for k in {arg[0], min(arg[1], arg[0] + 1)}]
+        elif name == "SUBPATTERN":
+            one = spellings(arg[3])
+        elif name == "BRANCH":
+            one = [x for b in arg[1] for x in spellings(b)]
+        else:
+            raise ValueError(name)
+        out = [a + b for a in out for b in one]
+    return out
+
+
+def test_every_alternative_begins_with_its_keyword():
+    for kw, _, _, rule in s.rules():
+        rest = rule.split("@")[-1].removesuffix("(?: |$)")
+        assert {x.split(" ")[0] for x in spellings(re._parser.parse(rest))} == {kw}, rule
+
+
+def test_version_in_the_same_word(spark):
+    want = {"Licensed under GPLv3": "gpl-3", "licensed under the GPLv2.0": "gpl-2", "GPL3": "gpl-3", "see GPL2": "gpl-2", "GPL v3": "gpl-3", "gpl version 2": "gpl-2", "GPL 3.0": "gpl-3", "GPLversion3": "gpl-3", "gplv 3": "gpl-3", "LGPLv3": "lgpl-3", "LGPLv2.1": "lgpl-2.1", "under the AGPLv3": "agpl-3", "Apache2": "apache-2", "gplv4": "", "xgplv3": ""}
+    rows = list(enumerate(want))
+    got = s.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {rows[r.doc_id][1]: r.labels for r in got} == want
+    assert all((r.score == 1.0) == bool(r.labels) for r in got)
