@@ -1,12 +1,13 @@
 """HTML extraction by equivalence-class template deduction.
 
 Pages are range-partitioned by (host, page_id), so a host of any size is spread over tasks, and cut into groups of at most GROUP
-pages of one host.  In a group, tokens (tags with their class, and words) that occur equally often on every page form a class.
-A class is valid if its tokens come in the same order on each of its pages; valid classes that lie in one gap of another are nested
-there.  The class whose tokens occur once on every page is the root; its tags are the template, the gaps between them
-are slots.  A slot outside the article whose text is the same on all pages of the group is boilerplate; the other slots
-are extracted, without those in menus, headers, footers, sidebars, notices, adverts, forms and reader comments, which tags,
-roles and class names tell.  If a page marks an article, only the slots in it count.
+pages of one host.  In a group, tokens (block tags with their class; an end tag counts with its start tag's) that occur equally
+often on every page form a class.  A class is valid if its tokens come in the same order on each of its pages; valid classes that
+stand in one gap of another are nested there.  The largest class whose tokens occur once on every page is the root; the gaps between
+its tags are slots, and so are the records that nested tags begin in a gap.  Text of a slot or record that stands on all pages of the group
+is boilerplate, in the article or not.  Words and inline tags (b, a, span) cut no slot, as they stand within sentences, so they
+are not counted.  Of the other slots, tags, roles and class names choose: those in menus, headers, footers, sidebars, notices,
+adverts, forms and reader comments are left out, and if a page marks an article, only the slots in it count.
 
 Text: character references are decoded; block tags end a block, line breaks are white space; white space in a block becomes one
 space; blocks are joined by an empty line.  Comments, scripts and styles are markup.
@@ -33,6 +34,8 @@ from .common import partitions, prepare, table
 GROUP, GROUP_CHARS = 48, 4_000_000
 #: The share of a group's pages on which a class must occur.
 SUPPORT = 0.6
+#: Unlike pages that must have a slot before a text on all of them counts as boilerplate.
+UNLIKE = 3
 
 _TOKEN = re.compile(r"""<!--.*?-->|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>(?:[^>"']|"[^"]*"|'[^']*')*))>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|([^<]+)|(<)""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -44,6 +47,9 @@ _OUT_TAGS = {"nav", "footer", "aside", "form", "button", "select", "head", "menu
 _OUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "form"}
 #: Words of class names and ids that mark what is not the article.
 _OUT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar side aside rail menu menus nav navbar navigation breadcrumb breadcrumbs topbar toolbar header masthead footer copyright comment comments reply replies respond discussion share sharing social related recommended newsletter subscribe subscription signup login search widget pagination pager form".split())
+#: Tags that cut a page into runs of text.  Inline tags stand within a sentence, and what follows one is no slot.
+_CUT = _BLOCK | {"td", "th"}
+_PRIME = 2**61 - 31
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -93,103 +99,185 @@ class Class:
     """Tokens with one occurrence vector, in their order; nested holds the valid classes in each gap."""
 
     tokens: list[str]
-    vector: tuple
+    support: int
     nested: dict[int, list[Class]] = field(default_factory=lambda: defaultdict(list))
 
 
-def tokens_of(page: list[Event]) -> list[str]:
-    return [t for e in page for t in ([e.token] if e.kind else e.name.split())]
+def runs_of(page: list[Event]) -> tuple[list[str], list[int], list[int]]:
+    """The tokens that cut a page; a fingerprint and the bytes of the text before the first and after each, white space left out."""
+    tokens, parts, stack = [], [[]], []
+    for e in page:
+        if e.kind == 0:
+            parts[-1].append(e.name)
+        elif e.name in _CUT:
+            token = e.token
+            if e.kind == 1 and e.name not in _VOID:
+                stack.append(e)
+            for k in range(len(stack) - 1, -1, -1) if e.kind == -1 else ():
+                if stack[k].name == e.name:  # an end tag counts as that of its start tag, with the class
+                    token = "</" + stack[k].token[1:]
+                    del stack[k:]
+                    break
+            tokens.append(token)
+            parts.append([])
+    texts = ["".join("".join(x).split()).encode("utf-8", "replace") for x in parts]
+    return tokens, [int.from_bytes(x, "big") % _PRIME for x in texts], [len(x) for x in texts]
 
 
-def template(pages: list[list[str]]) -> Class | None:
-    """The root class of a group of pages (as tokens), other valid classes nested in its gaps; None without one."""
-    vectors = defaultdict(list)
-    for i, page in enumerate(pages):
-        for token, n in Counter(page).items():
-            vectors[token].append((i, n))
+def count(tokens: list[str], page: int, counts: dict[str, list[int]]) -> None:
+    """Add a page to the sums of each token: pages, occurrences, and two fingerprints of the occurrence vector."""
+    for token, n in Counter(tokens).items():
+        h = hash((page, n))
+        for k, x in enumerate((1, n, h & 0xFFFFFFFF, h >> 32 & 0x7FFFFFFF)):
+            counts.setdefault(token, [0, 0, 0, 0])[k] += x
+
+
+def classes(counts: dict[str, list[int]], pages: int) -> list[list]:
+    """Tokens, support, and whether they are once on each page, of the classes that occur on enough of the pages."""
     groups = defaultdict(list)
-    for token, vector in vectors.items():
-        if len(vector) >= max(2, SUPPORT * len(pages)):
-            groups[tuple(vector)].append(token)
-    one = tuple((i, 1) for i in range(len(pages)))
-    valid = []
-    for vector, members in groups.items():
-        if len(members) < 2 and vector != one:
-            continue
-        inside = set(members)
-        order = None
-        for i, n in vector:
-            line = [t for t in pages[i] if t in inside]
-            if order is None:
-                order = line[: len(members)]
-            if vector == one:
-                # Words that stand in other places on other pages are no template; the tags between them still are.
-                order = _common(order, line)
-            elif line != order * n:
-                order = None
-                break
-        if order:
-            valid.append(Class(order, vector))
-    root = next((c for c in valid if c.vector == one), None)
-    if root is None:
+    for token, sums in counts.items():
+        if sums[0] >= max(2, SUPPORT * pages):
+            groups[tuple(sums)].append(token)
+    return [[tokens, x[0], x[0] == x[1]] for x, tokens in sorted((x, sorted(t)) for x, t in groups.items()) if len(tokens) > 1 or x[0] == x[1]]
+
+
+def relate(tokens: list[str], found: list[list], state: dict) -> None:
+    """Add the order of a page's tokens to the state: what comes before and after each token (as bits), and the order in each class."""
+    number = {t: k for k, t in enumerate(t for c in found for t in c[0])}
+    of = [k for k, c in enumerate(found) for _ in c[0]]
+    line = [number[t] for t in tokens if t in number]
+    for way, towards in (("after", line[::-1]), ("before", line)):
+        seen, near, last = 0, set(), {t: k for k, t in enumerate(towards)}
+        for k, t in enumerate(towards):
+            if t not in near:
+                near.add(t)
+                seen |= 1 << t
+            if last[t] == k:
+                state[way][t] = state[way].get(t, 0) | seen & ~(1 << t)
+    by = defaultdict(list)
+    for t in line:
+        by[of[t]].append(t)
+    for k, x in by.items():
+        order = x[: len(found[k][0])]
+        if not found[k][2]:
+            state["order"][k] = order if x == order * (len(x) // len(order)) and state["order"].get(k, order) == order else []
+
+
+def merge_relations(state: dict, more: dict) -> None:
+    for way in ("after", "before"):
+        for t, x in more[way].items():
+            state[way][int(t)] = state[way].get(int(t), 0) | x
+    for k, x in more["order"].items():
+        state["order"][int(k)] = x if state["order"].get(int(k), x) == x else []
+
+
+def no_relations() -> dict:
+    return {"after": {}, "before": {}, "order": {}}
+
+
+def root_of(found: list[list], state: dict, pages: int) -> Class | None:
+    """The root: of the classes that are once on a page, that with most tokens in one order; other valid classes nested in its gaps."""
+    names = [t for c in found for t in c[0]]
+    before, after = state["before"], state["after"]
+    clash = {t: before[t] & after[t] for t in before}
+    valid, at = [], 0
+    for k, (tokens, support, once) in enumerate(found):
+        inside, at = [t for t in range(at, at + len(tokens)) if t in clash], at + len(tokens)
+        if not once:
+            kept = state["order"].get(k) or []
+        else:  # tags that stand in other places on other pages are no template; those between them still are
+            every, mask, kept = sum(1 << t for t in inside), 0, []
+            for t in sorted(inside, key=lambda t: ((clash[t] & every).bit_count(), t)):  # noqa: B023
+                if not clash[t] & mask:
+                    mask |= 1 << t
+                    kept.append(t)
+            kept.sort(key=lambda t: (before[t] & mask).bit_count())  # noqa: B023
+        if kept:
+            valid.append((kept, support, once))
+    best = max((x for x in valid if x[2] and x[1] == pages), key=lambda x: (len(x[0]), x[1], [-t for t in x[0]]), default=None)
+    if best is None:
         return None
-    gap = [dict(zip(root.tokens, range(1, len(root.tokens) + 1), strict=True))] * len(pages)
-    place = []
-    for i, page in enumerate(pages):
-        now, at = 0, defaultdict(set)
-        for token in page:
-            now = gap[i].get(token, now)
-            at[token].add(now)
-        place.append(at)
-    for c in valid:
-        if c is not root:
-            gaps = {g for i, _ in c.vector for t in c.tokens for g in place[i][t]}
-            if len(gaps) == 1:
-                root.nested[gaps.pop()].append(c)
+    mask = sum(1 << t for t in best[0])
+    root = Class([names[t] for t in best[0]], best[1])
+    for x in valid:
+        gaps = {None if clash[t] & mask else (before[t] & mask).bit_count() for t in x[0]}
+        if x is not best and len(gaps) == 1 and None not in gaps:
+            root.nested[gaps.pop()].append(Class([names[t] for t in x[0]], x[1]))
     return root
 
 
-def _common(order: list[str], line: list[str]) -> list[str]:
-    """The tokens of order that come in the same order in line: the longest rising run of their places (all tokens are unlike)."""
-    from bisect import bisect_left
-
-    where = {t: k for k, t in enumerate(line)}
-    ends, back, last = [], {}, []
-    for t in order:
-        if t not in where:
-            continue
-        k = bisect_left(ends, where[t])
-        if k == len(ends):
-            ends.append(where[t]), last.append(t)
-        else:
-            ends[k], last[k] = where[t], t
-        back[t] = last[k - 1] if k else None
-    out, t = [], last[-1] if last else None
-    while t is not None:
-        out.append(t)
-        t = back[t]
-    return out[::-1]
+def template(pages: list[list[str]]) -> Class | None:
+    """The root class of some pages (as tokens), other valid classes nested in its gaps; None without one."""
+    counts, state = {}, no_relations()
+    for k, page in enumerate(pages):
+        count(page, k, counts)
+    found = classes(counts, len(pages))
+    for page in pages:
+        relate(page, found, state)
+    return root_of(found, state, len(pages))
+
+
+def places(root: Class | None) -> list[dict[str, int]]:
+    """The gap that begins at each token of the root, and the gap in which each nested token stands."""
+    return [{t: k for k, t in enumerate(root.tokens, 1)}, {t: g for g, x in root.nested.items() for c in x for t in c.tokens}] if root else [{}, {}]
+
+
+def records(tokens: list[str], texts: list[int], sizes: list[int], where: list[dict[str, int]]) -> tuple[list[int], list[tuple[str, int]]]:
+    """The record of each run of text, and slot and text of each record: a slot begins at a token of the root or of a class nested there."""
+    gaps, nested = where
+    gap, of, found = 0, [0], [["0", 0, 0]]
+    for t in tokens:
+        if t in gaps or nested.get(t) == gap:
+            gap = gaps.get(t, gap)
+            found.append([f"{gap}" if t in gaps else f"{gap}{t}", 0, 0])
+        of.append(len(found) - 1)
+    for r, text, n in zip(of, texts, sizes, strict=True):
+        if n:
+            x = found[r]
+            x[1:] = (x[1] * pow(256, n, _PRIME) + text) % _PRIME, x[2] + n
+    return of, [(slot, text << 32 | n if n else 0) for slot, text, n in found]
+
+
+def compare(page: int, runs: tuple, where: list[dict[str, int]], state: dict) -> None:
+    """Add a page to the state of each slot: the texts of its records on all pages that have it, and up to UNLIKE unlike pages."""
+    if not where[0].keys() <= set(runs[0]):
+        return
+    by = defaultdict(set)
+    for slot, text in records(*runs, where)[1]:
+        by[slot] |= {text} - {0}
+    merge_texts(state, {slot: [texts, [page]] for slot, texts in by.items()})
+
+
+def merge_texts(state: dict, more: dict) -> None:
+    for slot, (texts, unlike) in more.items():
+        old = state.get(slot, [texts, unlike])
+        state[slot] = [set(old[0]) & set(texts), sorted({*old[1], *unlike})[:UNLIKE]]
+
+
+def repeated(state: dict) -> dict[str, list[int]]:
+    """Of each slot, the texts that stand on all of its three or more unlike pages."""
+    return {slot: sorted(texts) for slot, (texts, unlike) in state.items() if texts and len(unlike) >= UNLIKE}
 
 
 @dataclass
 class Piece:
-    """A piece of text, its slot, and whether it is in the article or out of it."""
+    """A piece of text, its run, and whether it is in the article or out of it."""
 
     text: str
-    slot: int
+    run: int
     out: bool
     main: bool
     block: int
 
 
-def pieces(page: list[Event], gap: dict[str, int]) -> list[Piece]:
-    found, stack, slot, block = [], [], 0, 0
+def pieces(page: list[Event]) -> list[Piece]:
+    found, stack, run, block = [], [], 0, 0
     for e in page:
         if e.kind:
-            slot = gap.get(e.token, slot)
+            run += e.name in _CUT
             block += e.name in _BLOCK
             if e.name in _SPACE:
-                found.append(Piece(" ", slot, any(x.out for x in stack), any(x.main for x in stack), block))
+                found.append(Piece(" ", run, any(x.out for x in stack), any(x.main for x in stack), block))
         if e.kind == 1 and e.name not in _VOID:
             if e.name in _BLOCK:  # a block ends a paragraph that is open
                 for k in range(len(stack) - 1, -1, -1):
@@ -208,36 +296,36 @@ def pieces(page: list[Event], gap: dict[str, int]) -> list[Piece]:
                     del stack[k:]
                     break
         elif e.kind == 0:
-            found.append(Piece(e.name, slot, any(x.out for x in stack), any(x.main for x in stack), block))
+            found.append(Piece(e.name, run, any(x.out for x in stack), any(x.main for x in stack), block))
     return found
 
 
+def main_text(page: list[Event], runs: tuple, where: list[dict[str, int]], same: dict[str, list[int]]) -> str:
+    """The text of a page's slots, without repeated records and without what tags and class names mark as out of the article."""
+    kept = [x for x in pieces(page) if not x.out]
+    if any(x.main and x.text.strip() for x in kept):
+        kept = [x for x in kept if x.main]
+    if same and where[0].keys() <= set(runs[0]):
+        of, found = records(*runs, where)
+        drop = {r for r, (slot, text) in enumerate(found) if text in same.get(slot, ())}
+        kept = [x for x in kept if of[x.run] not in drop]
+    blocks = defaultdict(list)
+    for x in kept:
+        blocks[x.block].append(x.text)
+    lines = (" ".join(unescape("".join(b)).split()) for b in blocks.values())
+    return "\n\n".join(x for x in lines if x)
+
+
 def extract(group: list[str]) -> list[str]:
-    """The main text of each page of a group of one host."""
+    """The main text of each page of one host."""
     parsed = [events(html) for html in group]
-    words = [tokens_of(p) for p in parsed] if len(group) > 1 else []
-    root = template(words) if len(group) > 1 else None
-    gap = {t: k for k, t in enumerate(root.tokens, 1) if t[:1] == "<" and t[-1:] == ">"} if root else {}
-    cut = [pieces(p, gap) for p in parsed]
-    # Slots with one and the same text on all of three or more unlike pages.
-    texts = [defaultdict(str) for _ in cut]
-    for page, by in zip(cut, texts, strict=True):
-        for x in page:
-            by[x.slot] += x.text
-    same = {s for s in gap.values() if len({" ".join(by[s].split()) for by in texts}) == 1} if len({tuple(sorted(by.items())) for by in texts}) >= 3 else set()
-    out = []
-    for page in cut:
-        kept = [x for x in page if not x.out]
-        if any(x.main and x.text.strip() for x in kept):
-            kept = [x for x in kept if x.main]
-        else:
-            kept = [x for x in kept if x.slot not in same]
-        blocks = defaultdict(list)
-        for x in kept:
-            blocks[x.block].append(x.text)
-        lines = (" ".join(unescape("".join(b)).split()) for b in blocks.values())
-        out.append("\n\n".join(x for x in lines if x))
-    return out
+    runs = [runs_of(p) for p in parsed]
+    where = places(template([r[0] for r in runs])) if len(group) > 1 else [{}, {}]
+    state, first = {}, {}
+    for html, r in zip(group, runs, strict=True):
+        compare(first.setdefault(html, len(first)), r, where, state)
+    same = repeated(state) if where[0] else {}
+    return [main_text(p, r, where, same) for p, r in zip(parsed, runs, strict=True)]
 
 
 TEXTS = "page_id long, url string, text string, n_chars long"

@@ -55,3 +55,21 @@ def test_edge_rows(spark):
     df = spark.createDataFrame([(1, None, "<p>a", 1), (2, "http://h/x", None, 1), (2, "http://h/x", None, 1), (3, "http://h/y", "", 1), (None, "h", "<b>x" * 20000, 1)], "page_id long, url string, html string, text int")
     assert sorted((r.page_id or 0, r.text[:3], r.n_chars) for r in h.main_texts(df).collect()) == [(0, "xxx", 20000), (1, "a", 1), (2, "", 0), (2, "", 0), (3, "", 0)]
     assert h.main_texts(df.limit(0)).count() == 0
+
+
+def story(k, more=""):
+    return f"<article><h1>Head {k}</h1><p>Words {k} of {k * 7}</p><p>More of {k}</p>{'<p>Long</p>' * (k % 3)}<div class='z9'>Write to us at any time</div><p>End {k}</p>{more}</article>"
+
+
+def test_repeated_slots_in_an_article():
+    got = h.extract([page(k, story(k)) for k in range(5)])
+    assert not any("Write to us" in x for x in got)
+    assert got[1] == "Head 1\n\nWords 1 of 7\n\nMore of 1\n\nLong\n\nEnd 1"
+
+
+def test_repeated_records_of_a_nested_class():
+    body = lambda k: "".join(f"<li>{x}</li>" for x in [f"one {k}", *["and"] * (k % 2), "Order our paper", *(f"two {k} {j}" for j in range(k))])
+    group = [f"<html><body><main><h1>Head {k}</h1><ul>{body(k)}</ul></main></body></html>" for k in range(5)]
+    assert h.template([h.runs_of(h.events(x))[0] for x in group]).nested[6][0].tokens == ["<li >", "</li >"]
+    got = h.extract(group)
+    assert got[2] == "Head 2\n\none 2\n\ntwo 2 0\n\ntwo 2 1" and "and" in got[1]
