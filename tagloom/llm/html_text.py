@@ -3,9 +3,10 @@
 Pages are range-partitioned by (host, page_id), so a host of any size is spread over tasks, and cut into groups of at most GROUP
 pages of one host.  In a group, tokens (block tags with their class; an end tag counts with its start tag's) that occur equally
 often on every page form a class.  A class is valid if its tokens come in the same order on each of its pages; valid classes that
-stand in one gap of another are nested there.  The largest class whose tokens occur once on every page is the root; the gaps between
-its tags are slots, and so are the records that nested tags begin in a gap.  Text of a slot or record that stands on all pages of the group
-is boilerplate, in the article or not.  Words and inline tags (b, a, span) cut no slot, as they stand within sentences, so they
+stand in one gap of another are nested there.  Pages without tags are left out.  The largest valid class whose tokens occur once on each of at least SUPPORT of
+the pages is the root; slots are judged on the pages that have them.  The gaps between
+its tags are slots, and so are the records that nested tags begin in a gap.  Text of a slot or record that stands on all of its three or more
+unlike pages is boilerplate, in the article or not.  Words and inline tags (b, a, span) cut no slot, as they stand within sentences, so they
 are not counted.  Of the other slots, tags, roles and class names choose: those in menus, headers, footers, sidebars, notices,
 adverts, forms and reader comments are left out, and if a page marks an article, only the slots in it count.
 
@@ -175,7 +176,7 @@ def no_relations() -> dict:
     return {"after": {}, "before": {}, "order": {}}
 
 
-def root_of(found: list[list], state: dict, pages: int) -> Class | None:
+def root_of(found: list[list], state: dict) -> Class | None:
     """The root: of the classes that are once on a page, that with most tokens in one order; other valid classes nested in its gaps."""
     names = [t for c in found for t in c[0]]
     before, after = state["before"], state["after"]
@@ -194,7 +195,7 @@ def root_of(found: list[list], state: dict, pages: int) -> Class | None:
             kept.sort(key=lambda t: (before[t] & mask).bit_count())  # noqa: B023
         if kept:
             valid.append((kept, support, once))
-    best = max((x for x in valid if x[2] and x[1] == pages), key=lambda x: (len(x[0]), x[1], [-t for t in x[0]]), default=None)
+    best = max((x for x in valid if x[2]), key=lambda x: (len(x[0]), x[1], [-t for t in x[0]]), default=None)
     if best is None:
         return None
     mask = sum(1 << t for t in best[0])
@@ -211,10 +212,10 @@ def template(pages: list[list[str]]) -> Class | None:
     counts, state = {}, no_relations()
     for k, page in enumerate(pages):
         count(page, k, counts)
-    found = classes(counts, len(pages))
+    found = classes(counts, sum(map(bool, pages)))
     for page in pages:
         relate(page, found, state)
-    return root_of(found, state, len(pages))
+    return root_of(found, state)
 
 
 def places(root: Class | None) -> list[dict[str, int]]:

@@ -73,3 +73,14 @@ def test_repeated_records_of_a_nested_class():
     assert h.template([h.runs_of(h.events(x))[0] for x in group]).nested[6][0].tokens == ["<li >", "</li >"]
     got = h.extract(group)
     assert got[2] == "Head 2\n\none 2\n\ntwo 2 0\n\ntwo 2 1" and "and" in got[1]
+
+
+def test_odd_pages_do_not_undo_the_template():
+    group = [page(k, f'<div class="c1"><p>Words of page {k} and {"more " * k}</p></div><div class="c2"><p>All about this site</p></div>') for k in range(6)]
+    want = h.extract(group)
+    assert not any("All about" in x for x in want)
+    odd = ["", "<html><body><h1>Not found</h1></body></html>", "<table><tr><td>Old layout</table>"]
+    for more in ([odd[0]], odd[1:2], odd):
+        got = h.extract([*group[:3], *more, *group[3:]])
+        assert got[:3] + got[3 + len(more) :] == want
+    assert h.extract([*group, *odd])[-3:] == ["", "Not found", "Old layout"]
