@@ -1,28 +1,31 @@
 """HTML extraction by equivalence-class template deduction.
 
-Pages are range-partitioned by (host, page_id), so a host of any size is spread over tasks, and cut into groups of at most GROUP
-pages of one host.  In a group, tokens (block tags with their class; an end tag counts with its start tag's) that occur equally
-often on every page form a class.  A class is valid if its tokens come in the same order on each of its pages; valid classes that
-stand in one gap of another are nested there.  Pages without tags are left out.  The largest valid class whose tokens occur once on each of at least SUPPORT of
-the pages is the root; slots are judged on the pages that have them.  The gaps between
-its tags are slots, and so are the records that nested tags begin in a gap.  Text of a slot or record that stands on all of its three or more
-unlike pages is boilerplate, in the article or not.  Words and inline tags (b, a, span) cut no slot, as they stand within sentences, so they
-are not counted.  Of the other slots, tags, roles and class names choose: those in menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments are left out, and if a page marks an article, only the slots in it count.
+The template is deduced from all pages of a host, however many. Tokens (block tags with their class; an end tag counts with its
+start tag's) that occur equally often on every page form a class. A class is valid if its tokens come in the same order on each
+of its pages; valid classes that stand in one gap of another are nested there. Pages without tags are left out. The largest
+valid class whose tokens occur once on each of at least SUPPORT of the pages is the root; slots are judged on the pages that
+have them. The gaps between its tags are slots, and so are the records that nested tags begin in a gap. Text of a slot or record
+that stands on all of its three or more unlike pages is boilerplate, in the article or not. Words and inline tags (b, a, span)
+cut no slot, as they stand within sentences, so they are not counted. Of the other slots, tags, roles and class names choose:
+those in menus, headers, footers, sidebars, notices, adverts, forms and reader comments are left out, and if a page marks an
+article, only the slots in it count.
 
 Text: character references are decoded; block tags end a block, line breaks are white space; white space in a block becomes one
 space; blocks are joined by an empty line.  Comments, scripts and styles are markup.
 
-A page that shares its host with no other gets the same extraction with an empty template.  Edge cases: null and empty html give an
-empty text; a null url is a host of its own; broken markup is read as far as it goes (a lone ``<`` is text, an unclosed
-script runs to the end); repeated pages each get a row; extra columns are ignored; an empty table gives no rows.
+Occurrence vectors are compared by 63-bit sums of hashes over (page, number); orders, gaps and repeated texts are bits and sets
+that tasks add up for their own pages and then join, so the result doesn't depend on how pages are dealt out. A page whose host
+has fewer than three unlike pages gets the same extraction with an empty template. Edge cases: null and empty html give an empty
+text; a null url is a host of its own; broken markup is read as far as it goes (a lone ``<`` is text, an unclosed script runs to
+the end); repeated pages each get a row; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -30,10 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, prepare, table
+from .common import discard, materialize, prepare, table
 
-GROUP, GROUP_CHARS = 48, 4_000_000
-#: The share of a group's pages on which a class must occur.
+#: The share of a host's pages on which a class must occur.
 SUPPORT = 0.6
 #: Unlike pages that must have a slot before a text on all of them counts as boilerplate.
 UNLIKE = 3
@@ -329,33 +331,160 @@ def extract(group: list[str]) -> list[str]:
     return [main_text(p, r, where, same) for p, r in zip(parsed, runs, strict=True)]
 
 
-TEXTS = "page_id long, url string, text string, n_chars long"
+def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def main_texts(pages: DataFrame) -> DataFrame:
+#: Templates of up to so many bytes are broadcast; more of them are joined by a shuffle, in which Spark splits large hosts.
+BROADCAST = 8 << 20
+#: Tokens of different hosts that a task adds up before it passes them on.
+COUNTS = 200_000
+
+
+def attach(rows: DataFrame, states: DataFrame, how: str = "inner") -> DataFrame:
+    """Give each row its host's state."""
+    size = states.agg(F.sum(F.length("host") + F.length("state"))).head()[0] or 0
+    return rows.join(F.broadcast(states) if size <= BROADCAST else states, "host", how)
+
+
+def merged(partial: DataFrame, one: Callable[[list[dict], dict | None], object], name: str) -> DataFrame:
+    """One state a host from those of the tasks: as many as tasks hold pages of it, each of a size that its pages don't change."""
+    kind = pa.schema([("host", pa.string()), ("state", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for host, known, parts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                state = one(list(map(json.loads, parts)), json.loads(known))
+                rows += [(host, json.dumps(state))] if state else []
+            yield batch_of(rows, kind)
+
+    by = partial.groupBy("host").agg(F.first("known").alias("known"), F.collect_list("part").alias("parts"))
+    return materialize(by.mapInArrow(run, "host string, state string"), name)
+
+
+def partials(rows: DataFrame, start: Callable[[], dict], add: Callable[[dict, dict, int, tuple], None]) -> DataFrame:
+    """host, known (its state so far), part: what a task's pages add."""
+    kind = pa.schema([("host", pa.string()), ("known", pa.string()), ("part", pa.string())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, host, size = [], None, 0
+        parts, known, seen = {}, {}, set()
 
         def done() -> pa.RecordBatch:
-            texts = extract([x[2] for x in group])
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in group], pa.int64()), pa.array([x[1] for x in group], pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            out = batch_of([(k, known[k][0], json.dumps(v, default=sorted)) for k, v in parts.items()], kind)
+            parts.clear(), known.clear(), seen.clear()
+            return out
+
+        for batch in batches:
+            for host, page, tokens, texts, sizes, state in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if host not in parts:
+                    if len(parts) >= 1000:
+                        yield done()
+                    parts[host], known[host] = start(), (state, json.loads(state))
+                if (host, page) not in seen:  # exact copies add nothing
+                    seen.add((host, page))
+                    add(parts[host], known[host][1], page, (tokens, texts, sizes))
+        yield done()
 
+    return rows.select("host", "page", "tokens", "texts", "sizes", "state").mapInArrow(run, "host string, known string, part string")
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """host, state: tokens of the root and of nested classes, and the repeated texts of slots, of hosts that have such texts.
+
+    Each step adds up all pages of a host in each task first and joins the sums, so a host of any size has one template.
+    """
+    runs_kind = pa.schema([("host", pa.string()), ("page", pa.int64()), ("tokens", pa.list_(pa.string())), ("texts", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for page_id, url, html, here in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if group and (here != host or len(group) >= GROUP or size >= GROUP_CHARS):
+            rows = ((host, page, *runs_of(events(html))) for host, page, html in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            yield batch_of([r for r in rows if r[2]], runs_kind)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, n = defaultdict(dict), 0
+
+        def done() -> pa.RecordBatch:
+            out = batch_of([(host, t, *x) for host, by in counts.items() for t, x in by.items()], sums_kind)
+            counts.clear()
+            return out
+
+        for batch in batches:
+            for host, page, tokens in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                by = counts[host]
+                n -= len(by)
+                count(tokens, page, by)
+                count([""], page, by)  # the host's pages
+                n += len(by)
+                if n >= COUNTS:
                     yield done()
-                    group, size = [], 0
-                host = here
-                group.append((page_id, url, html or ""))
-                size += len(html or "")
-        if group:
-            yield done()
-
-    spark = prepare(pages.sparkSession)
+                    n = 0
+        yield done()
+
+    sums_kind = pa.schema([("host", pa.string()), ("token", pa.string()), *((x, pa.int64()) for x in "abcd")])
+    some = pages.where("length(html) > 0").select("host", F.xxhash64("html").alias("page"), "html")
+    runs = materialize(some.mapInArrow(cut, "host string, page long, tokens array<string>, texts array<long>, sizes array<long>"), "runs")
+    counts = runs.select("host", "page", "tokens").mapInArrow(sums, "host string, token string, a long, b long, c long, d long")
+    counts = materialize(counts.groupBy("host", "token").agg(*(F.sum(x).alias(x) for x in "abcd")), "tokens")
+    hosts = counts.where(f"token = '' AND a >= {UNLIKE}").select("host", F.col("a").alias("pages"))
+    frequent = counts.where("token <> '' AND a >= 2").join(hosts, "host").where(F.col("a") >= SUPPORT * F.col("pages"))
+    found = frequent.groupBy("host").agg(F.first("pages").alias("pages"), F.collect_list(F.struct("token", *"abcd")).alias("tokens"))
+    kind = pa.schema([("host", pa.string()), ("state", pa.string())])
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for host, n, tokens in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                rows.append((host, json.dumps(classes({x["token"]: [x[k] for k in "abcd"] for x in tokens}, n))))
+            yield batch_of(rows, kind)
+
+    found = materialize(found.mapInArrow(classed, "host string, state string"), "classes")
+
+    def rooted(parts: list[dict], known: list) -> list | None:
+        state = no_relations()
+        for x in parts:
+            merge_relations(state, x)
+        root = root_of(known, state)
+        return places(root) if root else None
+
+    roots = merged(partials(attach(runs, found), no_relations, lambda state, known, _, r: relate(r[0], known, state)), rooted, "roots")
+
+    def alike(parts: list[dict], known: list) -> list | None:
+        state = {}
+        for x in parts:
+            merge_texts(state, x)
+        same = repeated(state)
+        return [known, same] if same else None
+
+    out = merged(partials(attach(runs, roots), dict, lambda state, known, page, r: compare(page, r, known, state)), alike, "templates")
+    for x in (runs, counts, found, roots):
+        discard(x)
+    return out
+
+
+TEXTS = "page_id long, url string, text string, n_chars long"
+
+
+def main_texts(pages: DataFrame) -> DataFrame:
+    kind = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, known = [], {None: [[{}, {}], {}]}
+            for page_id, url, html, state in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if state not in known:
+                    known[state] = json.loads(state)
+                where, same = known[state]
+                page = events(html or "")
+                text = main_text(page, runs_of(page) if same else (), where, same)
+                rows.append((page_id, url, text, len(text)))
+            yield batch_of(rows, kind)
+
+    prepare(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     rows = pages.select("page_id", "url", "html", host.alias("host"))
-    ranged = rows.repartitionByRange(partitions(spark), "host", "page_id").sortWithinPartitions("host", "page_id", "url")
-    return ranged.mapInArrow(run, TEXTS)
+    return attach(rows, templates(rows), "left").select("page_id", "url", "html", "state").mapInArrow(run, TEXTS)
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

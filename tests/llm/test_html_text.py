@@ -84,3 +84,15 @@ def test_odd_pages_do_not_undo_the_template():
         got = h.extract([*group[:3], *more, *group[3:]])
         assert got[:3] + got[3 + len(more) :] == want
     assert h.extract([*group, *odd])[-3:] == ["", "Not found", "Old layout"]
+
+
+def test_every_page_of_a_host_has_one_template(spark):
+    text = lambda k: f"Words of page {k} and{' more' * (k % 7)}"
+    html = lambda k: f'<html><body><div class="c1"><p>{text(k)}</p></div><div class="c2"><p>All about this site</p></div></body></html>'
+    rows = [(k, f"http://h/{k}", html(k)) for k in range(49)] + [(100, "http://h/x", None), (101, "http://h/y", "<p>Not found"), (200, "http://other/", html(0)), (300, None, html(1))]
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+        got = {r.page_id: r.text for r in h.main_texts(df).collect()}
+        assert len(got) == len(rows) and [got[k] for k in range(49)] == [text(k) for k in range(49)]
+        assert (got[100], got[101], got[200]) == ("", "Not found", text(0) + "\n\nAll about this site")
+        assert list(got.values()).count("Not found") == 1 and got == dict(zip([r[0] for r in rows], h.extract([r[2] or "" for r in rows[:51]]) + h.extract([rows[51][2]]) + h.extract([rows[52][2]]), strict=True))
