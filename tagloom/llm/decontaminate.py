@@ -10,7 +10,8 @@ located by walking to a sampled row; their word spans are merged.
 Phrases go to the tasks with the function, so their number is bounded: a test set of over BLOCK_WORDS words is worked off in
 blocks, each over all documents, and spans and items add up.
 
-Edge cases: null or empty texts have no words and are clean; null or empty items give no phrase; an item id with several texts has
+Edge cases: null or empty texts have no words and are clean; null or empty texts of items give no phrase; phrases of items without an id count as hits,
+but for no item; an item id with several texts has
 all their phrases; equal phrases belong to all their items; repeated documents each get a row; extra columns are kept aside.
 """
 
@@ -39,8 +40,8 @@ _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 class Phrases:
     """The test phrases of some items: vocabulary, word numbers, and the items of each phrase."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
-        self.items = sorted({i for i, _ in items})
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
+        self.items = sorted({i for i, _ in items if i is not None})
         number = {i: k for k, i in enumerate(self.items)}
         data, offsets = text_bytes(pa.array([t for _, t in items], pa.string()))
         data = _LOWER[data]
@@ -51,7 +52,7 @@ class Phrases:
         for k, (item, _) in enumerate(items):
             words = (ids[at[k] : at[k + 1]] + 1).tolist()
             for i in range(max(1, len(words) - window + 1) if words else 0):
-                owners[tuple(words[i : i + window])].add(number[item])
+                owners[tuple(words[i : i + window])] |= {number[item]} if item is not None else set()
         found = sorted(owners)
         self.lengths = np.array([len(p) for p in found], np.int64)
         self.shortest = int(self.lengths.min()) if found else 0
@@ -268,10 +269,10 @@ def scan(docs: DataFrame, blocks: list[Phrases]) -> DataFrame:
 
 def phrase_blocks(bench: DataFrame, block_words: int = BLOCK_WORDS) -> list[Phrases]:
     """The test set as blocks of phrases, each from items of at most about block_words words (sizes are counted first)."""
-    texts = bench.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
+    texts = bench.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL")
     size = texts.agg(F.sum(F.length("text"))).head()[0] or 0
     n = -(-size // (5 * block_words))  # about five characters a word
-    part = F.pmod(F.xxhash64("item_id"), F.lit(max(1, n)))
+    part = F.pmod(F.xxhash64(F.coalesce("item_id", "text")), F.lit(max(1, n)))
     return [Phrases([tuple(r) for r in texts.where(part == k).collect()]) for k in range(n)] or [Phrases([])]
 
 

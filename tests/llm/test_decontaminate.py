@@ -55,3 +55,12 @@ def test_against_brute_force(spark):
     assert len(d.phrase_blocks(bench, 10)) > 2
     assert d.contaminated(df, bench.limit(0)).where("__contaminated").count() == 0
     assert d.drop_contaminated(df.limit(0), bench).count() == 0
+
+
+def test_items_without_an_id_count_as_hits(spark):
+    docs = spark.createDataFrame([(1, "some words of a passage"), (2, "short one here"), (3, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "of a passage"), (None, None), (7, "Short one"), (None, "short one here")], "item_id long, text string")
+    for block in (1_000_000, 2):
+        got = {r.doc_id: (r["__n_hit"], list(r["__items"]), r["__contaminated"]) for r in d.contaminated(docs, bench, block).collect()}
+        assert got == {1: (3, [], True), 2: (3, ["7"], True), 3: (0, [], False)}
+    assert [r.doc_id for r in d.drop_contaminated(docs, bench).collect()] == [3]
