@@ -20,7 +20,8 @@ Components come from star contraction over link tables.  Nothing of document sca
 written to the shared folder.  Broadcasts happen below BROADCAST_ROWS counted rows only, else the join is shuffled.
 
 Edge cases: null texts and texts without words have an empty set, link with nothing and are their own component; repeated rows
-and equal texts are in one class; rows that share a doc_id are one document to the result's component; extra columns are
+and equal texts are in one class; rows that share a doc_id are one document to the result's component; rows
+without a doc_id link like others and take the component of those that have one; extra columns are
 ignored; an empty table gives no rows.
 """
 
@@ -123,24 +124,24 @@ def level_of(s: np.ndarray, j: int) -> int:
     return level
 
 
-CLASSES = "doc_id long, n long, node long, j int, level int, next_level int"
+CLASSES = "doc_id long, h long, n long, node long, j int, level int, next_level int"
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, set size and node of every row; and what levels its instances need."""
+    """doc_id, hash of the text, set size and node of every row; and what levels its instances need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for s in shingle_sets(batch.column(1)):
+            for s in shingle_sets(batch.column(2)):
                 n = len(s)
                 js = instances(n) if n else []
                 rows.append((n, node_of(s) if n else None, js[0] if n else None, level_of(s, js[0]) if n else None, level_of(s, js[1]) if len(js) > 1 else None))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n", "node", "j", "level", "next_level"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "h", "n", "node", "j", "level", "next_level"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, CLASSES)
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, CLASSES)
 
 
 def levels(found: DataFrame) -> dict[int, int]:
@@ -199,9 +200,14 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+#: Rows in the order in which one of them stands for others: those without a doc_id come last.
+_ROW = "struct(doc_id IS NULL AS none, doc_id, h)"
+
+
 def fetch_sets(docs: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, items) of the given nodes: their sorted features as bytes, from one document each."""
-    wanted = materialize(found.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "wanted")
+    """(node, items) of the given nodes: their sorted features as bytes, from one document each; from one without a doc_id only if no other has the node."""
+    first = found.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.expr(_ROW)).alias("r"))
+    wanted = materialize(first.select("r.*").distinct(), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,8 +216,12 @@ def fetch_sets(docs: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame
             data = np.concatenate(sets).view(np.uint8) if sets else np.zeros(0, np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), binary_column(data, at)], names=["node", "items"])
 
-    rows = docs.select("doc_id", "text").join(_small(wanted), "doc_id", "left_semi").select("text").mapInArrow(run, "node long, items binary")
-    return rows.where("node IS NOT NULL")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    rows = texts.join(_small(wanted.where("NOT none").select("doc_id", "h")), ["doc_id", "h"], "left_semi").select("text")
+    alone = wanted.where("none").select("h")
+    if not alone.isEmpty():
+        rows = rows.unionByName(texts.where("doc_id IS NULL").join(_small(alone), "h", "left_semi").dropDuplicates(["h"]).select("text"))
+    return rows.mapInArrow(run, "node long, items binary").where("node IS NOT NULL")
 
 
 VERIFIED = "p long, x long, np long, nx long, inter long, own array<long>"
@@ -321,27 +331,34 @@ def candidates(shared: DataFrame, pivots: DataFrame, near: DataFrame, first: Dat
     return a.unionByName(b).unionByName(c).select(F.least("p", "x").alias("p"), F.greatest("p", "x").alias("x")).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row."""
+def rooted(docs: DataFrame) -> DataFrame:
+    """doc_id, hash of the text, set size and component's root (null without words) of every row."""
     prepare(docs.sparkSession)
     found = materialize(classes(docs), "classes")
     roots = components(links(docs, found))
-    rows = found.select("doc_id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = materialize(rows.select("doc_id", "n", "root"), "rooted")
+    rows = found.select("doc_id", "h", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return materialize(rows.select("doc_id", "h", "n", "root"), "rooted")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row."""
+    rows = rooted(docs)
     least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of every component: that of its least doc_id; rows without words all stay."""
-    kept = near_duplicates(docs).where("n_shingles = 0 OR doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("__id"))
-    kept = materialize(kept.groupBy("__id").agg(F.count("*").alias("__n")), "kept")
-    same = F.col("doc_id").eqNullSafe(F.col("__id"))
-    once = docs.join(_small(kept.where("__n = 1").select("__id")), same, "left_semi")
-    again = kept.where("__n > 1").select("__id")
+    """One row of every component: that of its least doc_id, and of the least hash of a text if these repeat; rows without words all stay."""
+    rows = rooted(docs).where("root IS NOT NULL").groupBy("root", "doc_id", "h").agg(F.count("*").alias("c"))
+    kept = rows.groupBy("root").agg(F.min(F.struct(F.expr(_ROW).alias("r"), "c")).alias("k"))
+    kept = materialize(kept.select(F.col("k.r.doc_id").alias("__id"), F.col("k.r.h").alias("__h"), F.col("k.c").alias("__n")), "kept")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h"))
+    empty = docs.where(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x09-\x0D\x20]"))
+    once = docs.join(_small(kept.where("__n = 1").select("__id", "__h")), same, "left_semi").unionByName(empty)
+    again = kept.where("__n > 1").select("__id", "__h")
     if again.isEmpty():
         return once
-    # Rows that repeat a doc_id: one of each text.
+    # Rows that repeat a doc_id with its text.
     return once.unionByName(docs.join(_small(again), same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 

@@ -94,3 +94,14 @@ def test_against_brute_force(spark, seed):
 
 def test_empty(spark):
     assert j.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_without_a_doc_id_link_and_one_of_each_stays(spark):
+    words = [f"w{k}" for k in range(200)]
+    text = lambda k: " ".join([*(f"x{i}" for i in range(k)), *words[k:]])
+    rows = [(1, text(0)), (None, text(15)), (None, text(15)), (3, text(30)), (7, "other text " * 9), (7, text(1)), (None, "only here one"), (None, "only here one"), (None, " "), (8, ""), (9, "twice the same"), (9, "twice the same")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, j.near_duplicates(df).where("doc_id IS NULL OR doc_id IN (1, 3)").collect()), key=str)
+    assert got == sorted([(1, 196, 1), (3, 196, 1), (None, 196, 1), (None, 196, 1), (None, 1, None), (None, 1, None), (None, 0, None)], key=str)
+    stay = sorted(map(tuple, j.one_of_each(df).collect()), key=str)
+    assert stay == sorted([(1, text(0)), (7, "other text " * 9), (None, "only here one"), (None, " "), (8, ""), (9, "twice the same")], key=str)
