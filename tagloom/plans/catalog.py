@@ -25,8 +25,10 @@ DEFAULT_RANKS = {"name": 10, "size": 8, "mtime": 7, "parentdir": 6, "item_kind":
 class TagDef:
     """A tag type and its hooks.
 
-    interpret rewrites a literal's text; expand turns a label into query text; implies names query text that also holds wherever the
-    tag is matched; extract computes labels from a file table's columns; show formats a value; strategy says how edits act.
+    interpret rewrites a literal's text; expand turns a label into query text; rewrite turns a comparison (operator and text) into
+    query text, or leaves it with None; implies names query text that also holds wherever the tag is matched; read names the type
+    whose label an item has that has none of its own; capture finds what a pattern's wildcards match (item_id, value to item_id,
+    captures); extract computes labels from a file table's columns; show formats a value; strategy says how edits act.
     """
 
     name: str
@@ -38,6 +40,9 @@ class TagDef:
     interpret: Callable[[str], str] | None = None
     expand: Callable[[str], str] | None = None
     expand_projection: str | None = None
+    rewrite: Callable[[str, str], str | None] | None = None
+    read: str | None = None
+    capture: Callable[[DataFrame, str], DataFrame] | None = None
     implies: str | None = None
     extract: Callable[..., Column] | None = None
     show: Callable[[object, str], str] | None = None

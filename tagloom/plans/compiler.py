@@ -2,12 +2,14 @@
 
 A set of items is a boolean Column over the wide item table; whatever is not in it (long tags, scalars, group verdicts) is joined as a
 column once.  So set operations are boolean logic on one scan, and Catalyst pushes them to the files.  Groups are one groupBy by the
-key columns; several aggregates over the same keys share it.  Nothing here looks at data, except q(...) and its bounded results.
+key columns; several aggregates over the same keys share it.  Nothing here looks at data, except q(...) for definitions,
+of which it takes a bounded number.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,7 +21,8 @@ from .syntax import Agg, Calc, Compare, Eval, Lit, Nest, Pattern, QueryError, Se
 
 MEMBERS = 100  # listed of each group
 TURN = {"<": ">", "<=": ">=", ">": "<", ">=": "<=", "=": "=", "^=": "^=", "^": "^"}
-EVAL_LIMIT = 10_000  # terms that q(...) may put into a query
+EVAL_LIMIT = 10_000  # definitions, or groups by patterns, that q(...) may put into a query as terms
+TEXT_SUM = 512 << 20  # characters of a text sum: it is one value, so more of them are an error
 
 
 @dataclass
@@ -27,6 +30,15 @@ class Result:
     kind: str  # items, groups, scalar, boolean, definitions
     df: DataFrame
     warnings: tuple = ()
+    types: dict = field(default_factory=dict)  # the tag type that a column's values are shown as
+
+
+@dataclass(frozen=True, eq=False)
+class Found:
+    """What an inner query has found, as a set of items: their ids (without keys), or the labels of keys."""
+
+    df: DataFrame
+    keys: tuple = ()
 
 
 @dataclass(frozen=True)
@@ -156,6 +168,14 @@ class Space:
         self.frame = self.frame.join(ids.select("item_id").distinct().withColumn(name, F.lit(True)), "item_id", "left")
         return F.col(name).isNotNull()
 
+    def verdict(self, keys: list[Column], groups: DataFrame) -> Column:
+        """Whether an item's keys are among the rows of groups: the groups are joined to the items, not to another scan of them."""
+        names = [self._name() for _ in keys]
+        hit = self._name()
+        rows = groups.toDF(*names).distinct().withColumn(hit, F.lit(True))
+        self.frame = self.frame.select("*", *(k.alias(n) for k, n in zip(keys, names, strict=True))).join(rows, names, "left").drop(*names)
+        return F.col(hit).isNotNull()
+
     def scalar(self, one: DataFrame) -> Column:
         """The value of a one-row table, on every item."""
         name = self._name()
@@ -163,11 +183,20 @@ class Space:
         return F.col(name)
 
     def rows(self, name: str) -> DataFrame:
-        """The long rows of a type."""
+        """The long rows of a type; of an item without any, those of the type that it is read from."""
         tags = self.catalog.tags
         if tags is None:
             tags = self.engine.empty_tags()
-        return tags.where(F.col("type") == name)
+        own, d = tags.where(F.col("type") == name), self.catalog.get(name)
+        if not d.read:
+            return own
+        other = self.catalog.get(d.read)
+        if other.column:
+            label = lambda k, n: (F.col(other.column) if k == other.kind else F.lit(None)).cast({"integer": "long"}.get(k, k)).alias(n)
+            rest = self.catalog.items.where(F.col(other.column).isNotNull()).select("item_id", F.lit(name).alias("type"), *(label(k, n) for k, n in LABELS.items()))
+        else:
+            rest = tags.where(F.col("type") == d.read).withColumn("type", F.lit(name))
+        return own.unionByName(rest.join(own.select("item_id"), "item_id", "left_anti").select(*own.columns))
 
     def value(self, name: str, how: str = "max") -> tuple[Column, str]:
         """One label of a type for each item, and its kind; of several the largest (or least)."""
@@ -191,27 +220,41 @@ class Engine:
 
     # --- Entry -------------------------------------------------------------------------------------------------------
 
-    def query(self, text: str, n: int = 0, offset: int = 0, order: tuple = (), members: bool = False) -> Result:
-        """n = 0 gives everything, unordered; with n or an order, rows come by it, then by rank and id, both falling."""
+    def query(self, text: str, n: int = 0, offset: int = 0, order: tuple = (), members: bool = False, sort: bool = False) -> Result:
+        """n = 0 gives everything, unordered; with n, an order or sort, rows come by the order, then by rank and id, both falling."""
         self.warnings = []
         tree = parse(text)
         node = self.expand(tree)
         if isinstance(tree, Calc) and isinstance(node, Lit):
             one, kind = self.scalar(node)
             return Result("scalar", one.select("value", F.lit(kind).alias("bitical_type")))
-        found = self.run(node, members)
+        sort = bool(sort or n or offset or order)
+        found = self.run(node, members, order)
         df = found.df
-        if found.kind == "items" and (n or offset or order):
+        if found.kind == "items" and sort:
             df = self.ordered(df, order)
-        elif found.kind == "groups" and (n or offset):
+        elif found.kind == "groups" and sort:
             df = df.orderBy(*[F.col(c).asc() for c in reversed([c for c in df.columns if c.startswith("key")])])
-        elif found.kind == "definitions" and (n or offset):
+        elif found.kind == "definitions" and sort and isinstance(tree, Typed) and tree.type == "type":
+            # Types alone come by their items, the latest first, like their own order says.
+            df = df.orderBy(F.desc_nulls_last("item_id"), F.desc("rank"), F.asc_nulls_last("name"))
+        elif found.kind == "definitions" and sort:
             df = df.orderBy(F.desc("rank"), F.asc_nulls_last("name"), F.desc_nulls_last("item_id"))
         if offset:
             df = df.offset(offset)
         if n:
             df = df.limit(n)
-        return Result(found.kind, df, tuple(self.warnings))
+        return Result(found.kind, df, tuple(self.warnings), self.shown_as(node, found))
+
+    def shown_as(self, node, found: Result) -> dict:
+        """Key columns show as their types; a value as that of the labels which it is one of, or the sum of."""
+        if found.kind != "groups" or isinstance(node, Set) and sum(map(self.has_groups, flat(node, node.op))) > 1 or isinstance(node, (Calc, Tag)) or isinstance(node, Nest) and self._nest_or(node):
+            return {"key0": node.type} if isinstance(node, Tag) else {}
+        s = self.spec(node)
+        out = {f"key{i}": k.type for i, k in enumerate(s.keys) if isinstance(k, Tag)}
+        if isinstance(s.value, Agg) and s.value.fn != "count" and isinstance(target := self.split(s.value.body)[1], Tag):
+            out["nvalue"] = target.type
+        return out
 
     def page(self, text: str, n: int = 100, offset: int = 0, order: tuple = ()) -> tuple[list, bool]:
         """A page of rows, and whether there are more: one row more is fetched to know."""
@@ -219,20 +262,15 @@ class Engine:
         return rows[:n], len(rows) > n
 
     def ordered(self, df: DataFrame, order: tuple) -> DataFrame:
-        space, keys, drop = Space(self), [], []
-        for name, desc in order:
-            if name in ("rank", "item_id"):
-                c = F.col(name)
-            else:
-                c, _ = space.value(name)
-                alias = f"__o{len(drop)}"
-                df = df.join(space.frame.select("item_id", c.alias(alias)), "item_id", "left")
-                drop.append(alias)
-                c = F.col(alias)
+        """df by the columns __o0, __o1, ... that run() has put beside the items."""
+        keys, drop = [], []
+        for k, (name, desc) in enumerate(order):
+            c = F.col(name if name in ("rank", "item_id") else f"__o{k}")
+            drop += [f"__o{k}"] * (name not in ("rank", "item_id"))
             keys.append(c.desc_nulls_last() if desc else c.asc_nulls_last())
         return df.orderBy(*keys, F.desc("rank"), F.desc("item_id")).drop(*drop)
 
-    def run(self, node, members: bool = False) -> Result:
+    def run(self, node, members: bool = False, order: tuple = ()) -> Result:
         if self.is_definition(node):
             return Result("definitions", self.definitions(node))
         if isinstance(node, Compare) and node.scalar or isinstance(node, Compare) and self.is_scalar(node.first) and all(self.is_scalar(x) for _, x in node.rest):
@@ -244,7 +282,8 @@ class Engine:
             return self.groups(node, members)
         space = Space(self)
         cond = self.items(node, space)
-        return Result("items", space.frame.where(cond).select("item_id", "rank", "item_kind"))
+        by = [space.value(name)[0].alias(f"__o{k}") for k, (name, _) in enumerate(order) if name not in ("rank", "item_id")]
+        return Result("items", space.frame.where(cond).select("item_id", "rank", "item_kind", *by))
 
     def empty_tags(self) -> DataFrame:
         from .catalog import TAG_COLUMNS
@@ -280,7 +319,7 @@ class Engine:
             if any(isinstance(x, Lit) and x.text.endswith(":") and not x.quoted for _, x in node.rest):
                 self.warnings.append("what stands right of a stuck comparison is a text, not a projection")
             sides = [self.expand(node.first), *(self.expand(x) for _, x in node.rest)]
-            pairs = [Compare(a, ((op, b),), node.scalar) for a, (op, _), b in zip(sides, node.rest, sides[1:], strict=False)]
+            pairs = [self.rewritten(Compare(a, ((op, b),), node.scalar)) for a, (op, _), b in zip(sides, node.rest, sides[1:], strict=False)]
             return reduce(lambda a, b: Set("&", a, b), pairs)
         if isinstance(node, Agg):
             body = self.expand(node.body) if node.body is not None else None
@@ -294,6 +333,15 @@ class Engine:
             return self.evaluate(node)
         return node
 
+    def rewritten(self, x: Compare):
+        """A comparison as the type of its projection would have it."""
+        a, (op, b) = x.first, x.rest[0]
+        if isinstance(a, Lit) and isinstance(b, Tag):
+            a, op, b = b, TURN[op], a
+        d = self.catalog.get(a.type) if isinstance(a, Tag) and isinstance(b, Lit) else None
+        text = d.rewrite(op, b.text) if d and d.rewrite else None
+        return x if text is None else self.expand(parse(text))
+
     def fold(self, node: Calc):
         """Constants: whole numbers stay whole (division truncates), others are doubles, texts join."""
         a, b = node.left, node.right
@@ -317,35 +365,52 @@ class Engine:
         return Lit(repr(float(v)))
 
     def evaluate(self, node: Eval):
-        """q(...): the inner result becomes terms, joined by or."""
-        inner = self.run(self.expand(node.body))
-        take = inner.df.limit(EVAL_LIMIT + 1).collect()
-        if len(take) > EVAL_LIMIT:
-            raise QueryError(f"q(...) found more than {EVAL_LIMIT} terms")
+        """q(...): the inner result as a set of items. Items, and the labels of plain keys, are joined; the rest becomes terms."""
+        body = self.expand(node.body)
+        inner = self.run(body)
         if inner.kind in ("scalar", "boolean"):
-            return Lit(str(take[0]["value"]), isinstance(take[0]["value"], str))
+            v = inner.df.head()["value"]
+            return Lit(format(Decimal(repr(v)), "f") if isinstance(v, float) else str(v), isinstance(v, str))
         terms = []
         if inner.kind == "groups":
-            keys = self.spec(self.expand(node.body)).keys
-            for r in take:
+            sets = isinstance(body, Set) and (body.op == "|" or sum(map(self.has_groups, flat(body, body.op))) > 1)
+            keys = () if sets or isinstance(body, Tag) and body.type == "type" or isinstance(body, Nest) and self._nest_or(body) else self.spec(body).keys
+            long_ = [k for k in keys if isinstance(k, Tag) and not self.catalog.get(k.type).column]
+            if keys and all(isinstance(k, Tag) for k in keys) and (not long_ or len(keys) == 1 and self.catalog.get(keys[0].type).kind != "any"):
+                return Found(inner.df.select(*(f"key{i}" for i in range(len(keys)))), keys)
+            keys = self.spec(body).keys
+            for r in self._few(inner.df):
                 terms.append(reduce(lambda a, b: Set("&", a, b), [Typed(k.type, Lit(str(r[f"key{i}"]), True)) for i, k in enumerate(keys)]))
         elif inner.kind == "definitions":
-            for r in take:
-                kind, _, label = r["name"].partition(":")
-                terms.append(Typed(kind, Lit(label, True)) if r["item_kind"] == "tag" else Typed(kind, Lit("*")))
+            terms = [self._defined(r) for r in self._few(inner.df)]
         else:
-            named = {}
-            stored = self.catalog.definitions
-            if stored is not None:
-                ids = inner.df.select("item_id")
-                named = {r["item_id"]: r for r in stored.join(ids, "item_id", "left_semi").where("item_kind IN ('tag', 'type')").collect()}
-            for r in take:
-                if r["item_id"] in named:
-                    kind, _, label = named[r["item_id"]]["name"].partition(":")
-                    terms.append(Typed(kind, Lit(label, True)) if named[r["item_id"]]["item_kind"] == "tag" else Typed(kind, Lit("*")))
-                else:
-                    terms.append(Typed("item_id", Lit(str(r["item_id"]))))
-        return reduce(lambda a, b: Set("|", a, b), terms) if terms else Set("-", Typed("*", Lit("*")), Typed("*", Lit("*")))
+            ids, stored = inner.df.select("item_id"), self.catalog.definitions
+            if stored is None:
+                return Found(ids)
+            # Stored types and tags stand for the items that carry them, not for themselves.
+            own = stored.where("item_kind IN ('tag', 'type')")
+            terms = [self._defined(r) for r in self._few(own.join(ids, "item_id", "left_semi"))]
+            return _balanced("|", [Found(ids.join(own.select("item_id"), "item_id", "left_anti")), *terms])
+        return _balanced("|", terms) if terms else Set("-", Typed("*", Lit("*")), Typed("*", Lit("*")))
+
+    def _few(self, df: DataFrame) -> list:
+        rows = df.limit(EVAL_LIMIT + 1).collect()
+        if len(rows) > EVAL_LIMIT:
+            raise QueryError(f"q(...) found more than {EVAL_LIMIT} definitions or groups by patterns")
+        return rows
+
+    def _defined(self, r) -> Typed:
+        kind, _, label = r["name"].partition(":")
+        return Typed(kind, Lit(label, True)) if r["item_kind"] == "tag" else Typed(kind, Lit("*"))
+
+    def found(self, x: Found, space: Space) -> Column:
+        """Whether an item is one of those found, or has the labels found."""
+        if not x.keys:
+            return space.flag(x.df)
+        if len(x.keys) == 1 and not self.catalog.get(x.keys[0].type).column:
+            label = LABELS[self.kind_of(self.catalog.get(x.keys[0].type))]
+            return space.flag(space.rows(x.keys[0].type).join(x.df.select(F.col("key0").alias(label)), label, "left_semi"))
+        return space.verdict([self.number(k, space)[0] for k in x.keys], x.df)
 
     # --- What a node is ----------------------------------------------------------------------------------------------
 
@@ -369,7 +434,7 @@ class Engine:
 
     def unions(self, x: Set) -> bool:
         """Whether an or of projections stays one: all have one key, or the same keys."""
-        specs = [self.spec(y) for y in _flat(x, "|")] if all(self.has_groups(y) for y in _flat(x, "|")) else []
+        specs = [self.spec(y) for y in flat(x, "|")] if all(self.has_groups(y) for y in flat(x, "|")) else []
         if not specs or any(s.value is not None for s in specs):
             return False
         return all(len(s.keys) == 1 for s in specs) or len({s.keys for s in specs}) == 1
@@ -393,7 +458,7 @@ class Engine:
         if isinstance(x, Compare):
             return Spec((), (), x) if x.scalar or _aggs(x) else Spec((), (x,))
         if isinstance(x, Set) and x.op == "&":
-            parts = _flat(x, "&")
+            parts = flat(x, "&")
             if all(isinstance(p, Compare) and p.scalar for p in parts):
                 return Spec((), (), x)
             specs = [self.spec(p) for p in parts]
@@ -422,11 +487,13 @@ class Engine:
             if self.is_scalar(x.left) and not isinstance(x.left, Lit) or self.is_scalar(x.right) and not isinstance(x.right, Lit):
                 raise QueryError("a single value is no set of items")
             if x.op == "|":
-                return self.any_of(_flat(x, "|"), space)
+                return self.any_of(flat(x, "|"), space)
             a, b = self.items(x.left, space), self.items(x.right, space)
             return a & b if x.op == "&" else a & ~b
         if isinstance(x, Lit):
             return self.match("*", "=", x, space)
+        if isinstance(x, Found):
+            return self.found(x, space)
         if isinstance(x, Typed):
             return self.match(x.type, "=", x.label, space)
         if isinstance(x, (Tag, Pattern)):
@@ -435,7 +502,7 @@ class Engine:
             return self.compared(x, space)
         if isinstance(x, Nest):
             if self._nest_or(x):
-                return reduce(lambda a, b: a | b, [self.items(Nest(x.left, y), space) for y in _flat(x.right, "|")])
+                return reduce(lambda a, b: a | b, [self.items(Nest(x.left, y), space) for y in flat(x.right, "|")])
             s = self.spec(x)
             if isinstance(s.value, (Compare, Set)):
                 return self.group_filter(s, s.value, space)
@@ -542,7 +609,7 @@ class Engine:
             df, kind = self.scalar(x)
             return space.scalar(df), {"numeric": "double"}.get(kind, kind)
         if isinstance(x, Set) and x.op == "&":
-            parts = _flat(x, "&")
+            parts = flat(x, "&")
             tags = [p for p in parts if isinstance(p, (Tag, Calc))]
             if len(tags) != 1:
                 raise QueryError("arithmetic needs one projection")
@@ -602,14 +669,16 @@ class Engine:
         if kind == "string" and x.fn in ("sum", "avg"):
             if x.fn == "avg":
                 return F.lit(None).cast("double"), "numeric", c.isNotNull()
-            return F.array_join(F.sort_array(F.collect_list(c)), ", "), "string", c.isNotNull()
+            size = F.coalesce(F.sum(F.length(c) + 2), F.lit(0))
+            whole = F.array_join(F.sort_array(F.collect_list(c)), ", ")
+            return F.when(size <= TEXT_SUM, whole).otherwise(F.raise_error(F.lit(f"a text sum of over {TEXT_SUM} characters")).cast("string")), "string", c.isNotNull()
         return getattr(F, x.fn)(c), "double" if x.fn == "avg" else kind, c.isNotNull()
 
     def split(self, body) -> tuple[list, object]:
         """Filters and the projection of an aggregate's body."""
         if body is None:
             return [], None
-        parts = _flat(body, "&") if isinstance(body, Set) and body.op == "&" else [body]
+        parts = flat(body, "&") if isinstance(body, Set) and body.op == "&" else [body]
         targets = [p for p in parts if isinstance(p, (Tag, Pattern, Calc)) and not (isinstance(p, Tag) and p.type == "*")]
         rest = [p for p in parts if p not in targets and not (isinstance(p, Tag) and p.type == "*")]
         if len(targets) > 1:
@@ -679,9 +748,9 @@ class Engine:
                 return Result("groups", self.table(Spec((x,)), members)[0])
             return Result("groups", self.nest_arithmetic(x))
         if isinstance(x, Nest) and self._nest_or(x):
-            return self.groups(reduce(lambda a, b: Set("|", a, b), [self.expand(Nest(x.left, y)) for y in _flat(x.right, "|")]), members) if self.unions(reduce(lambda a, b: Set("|", a, b), [Nest(x.left, y) for y in _flat(x.right, "|")])) else Result("groups", self.union_groups([self.spec(Nest(x.left, y)) for y in _flat(x.right, "|")]))
+            return self.groups(reduce(lambda a, b: Set("|", a, b), [self.expand(Nest(x.left, y)) for y in flat(x.right, "|")]), members) if self.unions(reduce(lambda a, b: Set("|", a, b), [Nest(x.left, y) for y in flat(x.right, "|")])) else Result("groups", self.union_groups([self.spec(Nest(x.left, y)) for y in flat(x.right, "|")]))
         if isinstance(x, Set):
-            parts = _flat(x, x.op)
+            parts = flat(x, x.op)
             proj = [p for p in parts if self.has_groups(p)]
             if x.op == "&" and len(proj) > 1 and all(isinstance(p, Tag) for p in proj):
                 self.warnings.append("projections joined by & meet in their labels; &: groups by both")
@@ -789,7 +858,7 @@ class Engine:
     def group_filter(self, s: Spec, test, space: Space) -> Column:
         """The items of the groups that pass; several comparisons over the same keys share one aggregation."""
         inner = Space(self)
-        tests = _flat(test, "&") if isinstance(test, Set) else [test]
+        tests = flat(test, "&") if isinstance(test, Set) else [test]
         sides = [(t.first, t.rest[0][0], t.rest[0][1]) for t in tests]
         nests = [n for a, _, b in sides for n in (*_nests(a), *_nests(b))]
         contexts = {self.spec(n).context for n in nests}
@@ -824,6 +893,10 @@ class Engine:
         verdict = reduce(lambda a, b: a & b, verdicts)
         frame = inner.frame.where(cond)
         passed = frame.groupBy(*names).agg(*aggs or [F.count(F.lit(1)).alias("__c")]).where(verdict).select(*names)
+        if all(not isinstance(k, (Tag, Pattern)) or self.catalog.get(k.type).column for k in s.keys):
+            # Keys that the item table holds: the verdict goes back by them.
+            inside = reduce(lambda a, b: a & b, [self.items(c, space) for c in context], F.lit(True))
+            return inside & space.verdict([self.number(k, space)[0] for k in s.keys], passed)
         return space.flag(frame.select("item_id", *names).join(passed, names, "left_semi"))
 
     def across(self, a, op: str, b, space: Space) -> Column:
@@ -954,13 +1027,20 @@ class Engine:
 # --- Trees -----------------------------------------------------------------------------------------------------------
 
 
-def _flat(x, op: str) -> list:
+def flat(x, op: str) -> list:
     """The operands of a run of one operator (of a difference: what it is taken from, and what is taken)."""
     if isinstance(x, Set) and x.op == op:
-        return [*_flat(x.left, op), *(_flat(x.right, op) if op != "-" else [x.right])]
+        return [*flat(x.left, op), *(flat(x.right, op) if op != "-" else [x.right])]
     return [x]
 
 
+def _balanced(op: str, terms: list):
+    """Many operands of one operator as a tree of little depth."""
+    while len(terms) > 1:
+        terms = [Set(op, *terms[k : k + 2]) if k + 1 < len(terms) else terms[k] for k in range(0, len(terms), 2)]
+    return terms[0]
+
+
 def _leaves(x) -> list:
     return [*_leaves(x.left), *_leaves(x.right)] if isinstance(x, Calc) else [x]
 

@@ -356,7 +356,7 @@ class Parser:
         return self.paren(lambda: self.first(self.nest_paren, self.nest))
 
     def operand(self):
-        return self.first(self.aggregation, self.calculation, self.type_ref, lambda: self.paren(self.expr), self.label)
+        return self.first(self.evaluation, self.aggregation, self.calculation, self.type_ref, lambda: self.paren(self.expr), self.label)
 
     def label_comparison(self) -> Compare:
         def step():
@@ -376,7 +376,7 @@ class Parser:
         def turned():
             left = self.first(self.number, lambda: Lit(self.quoted(), True), self.label, self.label_calc)
             op = self.take(_LABEL_OP)[1]
-            right = self.first(self.type_ref, self.calculation)
+            right = self.first(self.type_ref, self.calculation, lambda: self.paren(self.expr))
             return Compare(left, ((op, right), *self.many(step)), False)
 
         return self.first(colon, stuck, turned)
