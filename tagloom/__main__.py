@@ -7,6 +7,8 @@ import sys
 
 
 def main(args: list[str] | None = None, spark=None) -> int:
+    from .operators import edit as E
+
     p = argparse.ArgumentParser(prog="tagloom")
     p.add_argument("--store", required=True)
     sub = p.add_subparsers(dest="command", required=True)
@@ -17,11 +19,17 @@ def main(args: list[str] | None = None, spark=None) -> int:
     s.add_argument("query")
     s.add_argument("-n", type=int, default=100)
     s.add_argument("--offset", type=int, default=0)
+    s.add_argument("--mode", choices=("table", "groups", "short"), default="table")
+    s.add_argument("--format", choices=("human", "iso", "relative", "raw"), default="human", help="how sizes and dates are shown")
     s.add_argument("--order", action="append", default=[], help="a type; -type for falling order")
     for name in ("tag", "untag"):
         s = sub.add_parser(name, help=f"{name} a query's items")
         s.add_argument("query")
         s.add_argument("edit")
+        if name == "tag":
+            s.add_argument("--on-conflict", choices=E.CONFLICT, default="abort", help="several targets of a file, or several files with one")
+            s.add_argument("--on-hardlink", choices=E.HARDLINK, default="abort")
+            s.add_argument("--dry-run", action="store_true", help="show which files would move")
     s = sub.add_parser("note", help="store a note")
     s.add_argument("name")
     s.add_argument("content", nargs="?")
@@ -32,7 +40,6 @@ def main(args: list[str] | None = None, spark=None) -> int:
     sub.add_parser("clear", help="drop stored results")
     a = p.parse_args(args)
 
-    from .functions import display
     from .plans.syntax import QueryError
     from .store import Store
 
@@ -47,8 +54,8 @@ def main(args: list[str] | None = None, spark=None) -> int:
         elif a.command in ("search", "list"):
             text, n, offset, order = (a.query, a.n, a.offset, tuple((o.lstrip("-"), o.startswith("-")) for o in a.order)) if a.command == "search" else ("type:*", 0, 0, ())
             found = store.search(text, n + 1 if n else 0, offset, order)
-            rows = found.df.collect()
-            print(display.table(rows[:n] if n else rows, found.df.columns))
+            rows, columns = found.df.collect(), found.df.columns
+            print(store.shown(found, rows[:n] if n else rows, columns, getattr(a, "mode", "table"), getattr(a, "format", "human")))
             for w in found.warnings:
                 print(f"warning: {w}", file=sys.stderr)
             if n and len(rows) > n:
@@ -59,6 +66,9 @@ def main(args: list[str] | None = None, spark=None) -> int:
             store.set_type(a.name, a.kind)
         elif a.command == "clear":
             store.cache.clear()
+        elif a.command == "tag":
+            moves = store.tag(a.query, a.edit, a.on_conflict, a.on_hardlink, a.dry_run)
+            print("\n".join(f"{r['path']} -> {r['target']}" for r in moves))
         else:
             getattr(store, a.command)(a.query, a.edit)
     except QueryError as e:

@@ -48,8 +48,26 @@ def value(v, tag=None, form: str = "human") -> str:
     return str(v)
 
 
-def table(rows: list, columns: list[str], defs: dict | None = None) -> str:
-    """Rows as aligned text."""
-    lines = [columns, *([value(r[c], (defs or {}).get(c)) for c in columns] for r in rows)]
+def table(rows: list, columns: list[str], defs: dict | None = None, form: str = "human") -> str:
+    """Rows as aligned text; defs: how a column's values are shown."""
+    lines = [columns, *([value(r[c], (defs or {}).get(c), form) for c in columns] for r in rows)]
     wide = [max(len(x[i]) for x in lines) for i in range(len(columns))]
     return "\n".join("  ".join(x.ljust(w) for x, w in zip(line, wide, strict=True)).rstrip() for line in lines)
+
+
+def groups(rows: list, columns: list[str], defs: dict | None = None, form: str = "human", names: dict | None = None) -> str:
+    """A line a group: its keys, what was computed, how many items it has; below it the first of them, if they were asked for."""
+    defs, out = defs or {}, []
+    for r in rows:
+        keys = " / ".join(value(r[c], defs.get(c), form) for c in columns if c.startswith("key"))
+        computed = f": {value(r['nvalue'], defs.get('nvalue'), form)}" if "nvalue" in columns else ""
+        out.append(f"{keys}{computed} ({r['item_count']})")
+        out += [f"  {(names or {}).get(i, i)}" for i in (r["members"] if "members" in columns else [])]
+    return "\n".join(out)
+
+
+def short(rows: list, columns: list[str], defs: dict | None = None, form: str = "human", names: dict | None = None) -> str:
+    """One thing a line and nothing else: an item's name, a group's keys, a value."""
+    first = [c for c in columns if c.startswith("key")] or [c for c in ("name", "item_id", "value") if c in columns][:1]
+    named = lambda r: (names or {}).get(r["item_id"]) if "item_id" in columns else None
+    return "\n".join(named(r) or "\t".join(value(r[c], (defs or {}).get(c), form) for c in first) for r in rows)

@@ -27,9 +27,10 @@ def shown_id(c: Column) -> Column:
 
 
 def allocate(rows: DataFrame, used: DataFrame, block: int, order: list) -> DataFrame:
-    """rows with a new item_id in a block: above the largest one in used, in the given order.
+    """rows with a new item_id in a block: above the largest one in used, without gaps.
 
-    Ids are dealt within ranges of the order, whose starts come from one count a range, so no task numbers all rows.
+    Rows are dealt to 1024 buckets by a hash of the order columns and numbered by these inside a bucket; a bucket starts where
+    the counts of those before it end. So the same rows get the same ids, and no task numbers all of them.
     """
     base = used.where(F.col("item_id").between(block * BLOCK, block * BLOCK + BLOCK - 1)).agg(F.coalesce(F.max("item_id") + 1, F.lit(block * BLOCK)).alias("__base"))
     bucket = F.pmod(F.xxhash64(*order), F.lit(1024))

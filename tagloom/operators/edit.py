@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import literals as L
@@ -14,6 +14,11 @@ from ..plans.syntax import QueryError
 from .merge import key_replace
 
 COLUMNS = ["item_id", "type", *LABELS.values()]
+#: What happens if a file gets several targets, or several files get one: an error, the file stays, a number is put to the name,
+#: or (of several targets) the least one counts. And what happens to a file with several hard links: an error, it stays, it moves.
+CONFLICT, HARDLINK = ("abort", "skip", "serial", "first"), ("abort", "skip", "all")
+#: Types that are parts of a path.
+PATH_TYPES = ("path", "parentdir", "filename", "stem", "extension")
 
 
 @dataclass(frozen=True)
@@ -114,6 +119,86 @@ def tag(tags: DataFrame, new: DataFrame, catalog: Catalog) -> DataFrame:
     return kept.unionByName(new).distinct()
 
 
+def moves(files: DataFrame, new: DataFrame, conflict: str = "abort", hardlink: str = "abort", show: int = 10) -> DataFrame:
+    """(item_id, path, target) of the files that new labels of PATH_TYPES put elsewhere; QueryError names what a policy forbids.
+
+    files: item_id, path, parentdir, filename, stem, extension, is_dir, file_id. Only the new rows and the paths that they meet
+    take part in joins; nothing is collected but up to ``show`` names for an error.
+    """
+
+    def refuse(df: DataFrame, what: str) -> None:
+        if bad := [r[0] for r in df.limit(show).collect()]:
+            raise QueryError(f"{what}: {', '.join(sorted(bad))}")
+
+    rows = new.where(F.col("type").isin(*PATH_TYPES)).groupBy("item_id", "type").agg(F.min("label_str").alias("label"), F.countDistinct("label_str").alias("n"))
+    at = files.join(rows.groupBy("item_id").agg(F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("type", "label"))).alias("to")), "item_id")
+    many = at.where("n > 1")
+    if conflict in ("abort", "serial"):
+        refuse(many.select("path"), "several targets")
+    at = at.where("n = 1") if conflict == "skip" else at
+    links = files.join(at.select("file_id").distinct(), "file_id", "left_semi").groupBy("file_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    if hardlink == "abort":
+        refuse(at.join(links, "file_id", "left_semi").select("path"), "several hard links")
+    elif hardlink == "skip":
+        at = at.join(links, "file_id", "left_anti")
+    part = lambda name: F.coalesce(F.col("to")[name], F.col(name))
+    ext = F.when(F.col("to")["extension"].isNotNull() | F.col("extension").isNotNull(), F.concat(F.lit("."), part("extension"))).otherwise(F.lit(""))
+    # A name that is given whole wins over its parts; so does a path.
+    own = F.when(F.col("to")["stem"].isNull() & F.col("to")["extension"].isNull(), F.col("filename")).otherwise(F.concat(part("stem"), ext))
+    target = F.coalesce(F.col("to")["path"], F.concat(part("parentdir"), F.lit("/"), F.coalesce(F.col("to")["filename"], own)))
+    at = at.select("item_id", "path", target.alias("target")).where("path <> target")
+    # A path is taken by a file that stays there; of files with one target, the first by id may have it if it is free.
+    stays = files.join(at.select("item_id"), "item_id", "left_anti").select(F.col("path").alias("target"), F.lit(1).alias("taken"))
+    place = F.row_number().over(Window.partitionBy("target").orderBy("item_id")) - 1
+    at = at.withColumn("k", place).join(stays, "target", "left").withColumn("k", F.col("k") + F.coalesce("taken", F.lit(0)))
+    clash = at.where("k > 0")
+    if conflict in ("abort", "first"):
+        refuse(clash.select("target").distinct(), "a target of several files, or one that exists")
+    if conflict == "skip":
+        at = at.where("k = 0")
+    dot = F.regexp_extract("target", r"(\.[^./]+)$", 1)
+    numbered = F.concat(F.expr("substring(target, 1, length(target) - length(__dot))"), F.lit("_"), F.col("k").cast("string"), F.col("__dot"))
+    return at.withColumn("__dot", dot).select("item_id", "path", F.when(F.col("k") > 0, numbered).otherwise(F.col("target")).alias("target"))
+
+
+def move_files(plan: DataFrame) -> None:
+    """Rename files as planned, in the tasks; a target that has come up since is an error."""
+
+    def run(rows) -> None:
+        import os
+
+        for r in rows:
+            if os.path.lexists(r["target"]):
+                raise OSError(f"{r['target']} exists")
+            os.makedirs(os.path.dirname(r["target"]), exist_ok=True)
+            # A task that is run again finds its own work done.
+            if os.path.lexists(r["path"]):
+                os.rename(r["path"], r["target"])
+
+    plan.foreachPartition(run)
+
+
+def set_times(files: DataFrame, new: DataFrame) -> DataFrame:
+    """Files with the time of change that new mtime labels give them, on disk, too."""
+    times = new.where("type = 'mtime'").groupBy("item_id").agg(F.max("label_int").alias("__t"))
+
+    def run(rows) -> None:
+        import os
+
+        for r in rows:
+            os.utime(r["path"], (r["__t"], r["__t"]))
+
+    both = files.join(times, "item_id", "left")
+    both.where("__t IS NOT NULL").select("path", "__t").foreachPartition(run)
+    return both.withColumn("mtime", F.coalesce("__t", "mtime")).select(*files.columns)
+
+
+def inject(references: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored items with the content that new content labels give them."""
+    content = new.where("type = 'content'").groupBy("item_id").agg(F.min("label_str").alias("__c"))
+    return references.join(content, "item_id", "left").withColumn("content", F.coalesce("__c", "content")).select(*references.columns)
+
+
 def untag(tags: DataFrame, items: DataFrame, parts: list[Part]) -> DataFrame:
     """User tags without those of a type (and label, a pattern too) on these items; ``item_id:`` takes all of an item's tags."""
     ids = items.select("item_id").distinct().withColumn("__hit", F.lit(True))

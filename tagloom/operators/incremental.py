@@ -53,7 +53,10 @@ def diff(scan: DataFrame, files: DataFrame, removed: DataFrame | None = None, ro
     live, full = cut(live), cut(scan.join(known.select("scan_hash", "path"), ["scan_hash", "path"], "left_anti"))
     stale = known.join(live, "item_id", "left_anti")
     was = stale.groupBy("basename_scan_hash", "file_id").agg(F.min("item_id").alias("item_id"), F.min("path").alias("__was"))
-    moved = cut(full.join(was, ["basename_scan_hash", "file_id"]).where(F.col("path") != F.col("__was")).drop("__was"))
+    moved = full.join(was, ["basename_scan_hash", "file_id"]).where(F.col("path") != F.col("__was")).drop("__was")
+    # Of several links to one file, the least path is the file that moved.
+    once = moved.groupBy("item_id").agg(F.min("path").alias("path"))
+    moved = cut(moved.join(once, ["item_id", "path"], "left_semi"))
     rest = full.join(moved.select("path"), "path", "left_anti")
     ids = known.join(moved.select("item_id"), "item_id", "left_anti").groupBy("file_id").agg(F.min("item_id").alias("item_id"))
     # A hard link's further paths are files of their own: an id is given away once, to the least path.
@@ -88,7 +91,9 @@ def apply(files: DataFrame, d: Diff, ids_in_use: DataFrame | None = None) -> Dat
     return key_replace(files, rows.select(*columns), "item_id").join(d.deleted, "item_id", "left_anti")
 
 
-def record_removed(files: DataFrame, deleted: DataFrame, user_tags: DataFrame, removed: DataFrame, now: int) -> DataFrame:
-    """The table of removed files with those deleted ones that a user has tagged."""
-    lost = with_hashes(files).join(deleted, "item_id", "left_semi").join(user_tags.select("item_id"), "item_id", "left_semi")
+def record_removed(files: DataFrame, deleted: DataFrame, user_tags: DataFrame | None, removed: DataFrame, now: int) -> DataFrame:
+    """The table of removed files with those deleted ones that a user has tagged; with all deleted ones, if tags are not known."""
+    lost = with_hashes(files).join(deleted, "item_id", "left_semi")
+    if user_tags is not None:
+        lost = lost.join(user_tags.select("item_id"), "item_id", "left_semi")
     return key_replace(removed, lost.withColumn("removed_file_at", F.lit(now).cast("long")).select(*removed.columns), "item_id")

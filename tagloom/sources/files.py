@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,38 +14,143 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 SCHEMA = "path string, file_id string, is_dir boolean, size long, mtime long"
 
 
+#: Partitions that a scan has at least, if there are as many directories: large ones are opened until then.
+PARTS = 64
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A line of an ignore file, read relative to the folder of that file."""
+
+    base: str
+    regex: re.Pattern
+    keep: bool
+    dirs_only: bool
+
+
+def ignore_rule(line: str, base: str) -> Rule | None:
+    """A pattern line: ! keeps what an earlier line left out, a final / means directories, another / ties it to the folder."""
+    line = line.rstrip("\r\n")
+    line = re.sub(r"(?<!\\) +$", "", line)
+    if not line or line.startswith("#"):
+        return None
+    keep = line.startswith("!")
+    line = line[1:] if keep else line
+    dirs_only = line.endswith("/")
+    line = line.rstrip("/")
+    tied = "/" in line
+    out, i, line = "", 0, line.lstrip("/")
+    while i < len(line):
+        if line.startswith("**/", i) and (i == 0 or line[i - 1] == "/"):
+            out, i = out + "(?:.*/)?", i + 3
+        elif line[i:] == "**":
+            out, i = out + ".*", i + 2
+        elif line[i] == "*":
+            out, i = out + "[^/]*", i + 1
+        elif line[i] == "?":
+            out, i = out + "[^/]", i + 1
+        elif line[i] == "[" and "]" in line[i + 2 :]:
+            end = line.index("]", i + 2)
+            inner = line[i + 1 : end].replace("\\", "\\\\")
+            out, i = out + f"[{'^' + inner[1:] if inner[0] in '!^' else inner}]", end + 1
+        else:
+            i += line[i] == "\\" and i + 1 < len(line)
+            out, i = out + re.escape(line[i]), i + 1
+    return Rule(base.rstrip("/"), re.compile(("" if tied else "(?:.*/)?") + out + r"\Z", re.S), keep, dirs_only) if out else None
+
+
+def ignore_rules(folder: str, in_repository: bool) -> tuple[Rule, ...]:
+    """The rules of a folder's own ignore files; those of version control count inside a repository only. The last match wins."""
+    found = []
+    for name in (*((".git/info/exclude", ".gitignore") if in_repository else ()), ".ignore"):
+        try:
+            with open(os.path.join(folder, name), encoding="utf-8", errors="replace") as f:
+                found += [r for line in f if (r := ignore_rule(line, folder))]
+        except OSError:
+            continue
+    return tuple(found)
+
+
+def ignored(path: str, is_dir: bool, rules: tuple[Rule, ...]) -> bool:
+    for r in reversed(rules):
+        if (is_dir or not r.dirs_only) and r.regex.match(path[len(r.base) + 1 :]):
+            return not r.keep
+    return False
+
+
+@dataclass(frozen=True)
+class Folder:
+    """A directory, and the ignore rules that hold in it."""
+
+    path: str
+    rules: tuple[Rule, ...]
+    in_repository: bool
+
+    def below(self, path: str) -> Folder:
+        inside = self.in_repository or os.path.exists(os.path.join(path, ".git"))
+        return Folder(path, self.rules + ignore_rules(path, inside), inside)
+
+
+def opened(root: str) -> Folder:
+    """A root with the rules of the folders above it, as far as its repository reaches."""
+    chain = [root]
+    while not os.path.exists(os.path.join(chain[-1], ".git")) and os.path.dirname(chain[-1]) != chain[-1]:
+        chain.append(os.path.dirname(chain[-1]))
+    inside = os.path.exists(os.path.join(chain[-1], ".git"))
+    at = Folder(chain[-1], ignore_rules(chain[-1], inside), inside)
+    for path in reversed(chain[:-1]):
+        at = at.below(path)
+    return at
+
+
 class _Part(InputPartition):
-    def __init__(self, path: str, deep: bool):
-        super().__init__((path, deep))
+    def __init__(self, folder: Folder, deep: bool):
+        super().__init__((folder, deep))
 
 
 class TreeReader(DataSourceReader):
-    """One partition for a root itself and one for each directory right below it; only metadata is read."""
+    """Partitions are directories: some alone with their files, some with all below them. Only metadata is read.
+
+    The driver opens directories, the topmost first, until there are PARTS partitions.
+    """
 
     def __init__(self, options):
-        self.roots = [r for r in options.get("paths", options.get("path", "")).split(",") if r]
+        self.roots = [r.rstrip("/") or "/" for r in options.get("paths", options.get("path", "")).split(",") if r]
         self.skip = {s for s in options.get("skip", "").split(",") if s}
 
+    def entries(self, folder: Folder) -> tuple[list[Folder], list[str]]:
+        """The directories and the other entries of a folder that are neither skipped nor ignored."""
+        dirs, rest = [], []
+        for e in sorted(os.scandir(folder.path), key=lambda e: e.name):
+            is_dir = e.is_dir(follow_symlinks=False)
+            if e.path in self.skip or ignored(e.path, is_dir, folder.rules):
+                continue
+            if is_dir:
+                dirs.append(folder.below(e.path))
+            else:
+                rest.append(e.path)
+        return dirs, rest
+
     def partitions(self) -> list[_Part]:
-        found = []
-        for root in self.roots:
-            found.append(_Part(root, False))
-            found += [_Part(e.path, True) for e in sorted(os.scandir(root), key=lambda e: e.name) if e.is_dir(follow_symlinks=False) and e.path not in self.skip]
-        return found
+        closed, alone = [opened(r) for r in self.roots], []
+        while closed and len(closed) + len(alone) < PARTS:
+            now, closed = closed, []
+            for folder in now:
+                alone.append(folder)
+                closed += self.entries(folder)[0]
+        return [_Part(f, False) for f in alone] + [_Part(f, True) for f in closed]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        path, deep = partition.value
-        if not deep:
-            yield self.row(path)
-            for e in os.scandir(path):
-                if not e.is_dir(follow_symlinks=False):
-                    yield self.row(e.path)
-            return
-        for top, dirs, names in os.walk(path):
-            dirs[:] = sorted(d for d in dirs if os.path.join(top, d) not in self.skip)
-            yield self.row(top)
-            for n in names:
-                yield self.row(os.path.join(top, n))
+        folder, deep = partition.value
+        waiting = [folder]
+        while waiting:
+            at = waiting.pop()
+            yield self.row(at.path)
+            dirs, rest = self.entries(at)
+            for path in rest:
+                yield self.row(path)
+            if deep:
+                waiting += dirs
 
     def row(self, path: str) -> tuple:
         s = os.lstat(path)

@@ -8,17 +8,20 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import display
 from .functions.ids import allocate
 from .operators import edit as E
 from .operators import incremental as I
 from .operators.merge import cut, key_replace, read_or_empty, tag_layout, write_atomic
 from .operators.oneview import unpivot
 from .plans.catalog import DEFAULT_RANKS, LABELS, TAG_COLUMNS, Catalog, TagDef, files_catalog
-from .plans.compiler import Engine, Result
+from .plans.compiler import Engine, Result, Space, flat
+from .plans.literals import is_pattern
 from .plans.syntax import Compare, QueryError, Typed, parse
 from .sources.cache import ResultCache
-from .sources.files import extract, scan_tree
+from .sources.files import extract, path_attributes, scan_tree
 
+#: Names and types of the stored tables and their columns: fixed values of the data model.
 SCHEMAS = {
     "files": "item_id long, rank long, path string, parentdir string, filename string, stem string, extension string, file_id string, is_dir boolean, size long, mtime long",
     "user_tags": TAG_COLUMNS,
@@ -91,7 +94,25 @@ class Store:
         return c.register(*(replace(h, column=None) for h in self.hooks))
 
     def search(self, text: str, n: int = 100, offset: int = 0, order: tuple = ()) -> Result:
-        return Engine(self.catalog()).query(text, n, offset, order)
+        """A page of a query's result: the result is kept until a table changes, so further pages need no second run. n = 0 gives all of it, unkept and unordered."""
+        e = Engine(self.catalog())
+        return self.cache.page(e, text, n, offset, order) if n else e.query(text, n, offset, order)
+
+    def names(self, ids: list[int]) -> dict[int, str]:
+        """The paths or names of some items, for display."""
+        some = lambda df, c: {r["item_id"]: r[c] for r in df.where(F.col("item_id").isin(ids)).select("item_id", c).collect()}
+        return some(self.read("files"), "path") | some(self.read("item_references"), "name")
+
+    def shown(self, found: Result, rows: list, columns: list[str], mode: str = "table", form: str = "human") -> str:
+        """Rows of a result as text: a table, compact groups, or one thing a line."""
+        c = self.catalog()
+        defs = {k: c.get(v) for k, v in found.types.items()}
+        if mode == "table":
+            return display.table(rows, columns, defs, form)
+        ids = [r["item_id"] for r in rows if r["item_id"] is not None] if "item_id" in columns else [i for r in rows for i in r["members"]] if "members" in columns else []
+        if mode == "groups" and found.kind == "groups":
+            return display.groups(rows, columns, defs, form, self.names(ids) if ids else None)
+        return display.short(rows, columns, defs, form, self.names(ids) if ids else None)
 
     # --- Edits -------------------------------------------------------------------------------------------------------
 
@@ -114,23 +135,54 @@ class Store:
         self.write("item_references", cut(E.store_items(refs, named)))
         return rows.where("item_id IS NOT NULL").select("item_id").unionByName(named.select("item_id"))
 
-    def tag(self, text: str, edit: str) -> None:
-        """Put the tags of an edit on a query's items; {n} is what the query's n-th wildcard matched."""
-        c, hits = self._hits(text)
-        parts = E.parse_edit(edit)
-        caps = None
-        if any("{" in (p.label or "") + p.type for p in parts):
-            node = parse(text)
-            source = node if isinstance(node, Typed) else node.first if isinstance(node, Compare) else None
-            if not isinstance(source, Typed):
-                raise QueryError("captures need a query of one pattern")
-            d = c.get(source.type)
+    def captured(self, text: str, c: Catalog, hits: DataFrame) -> DataFrame:
+        """What the wildcards of a query's patterns matched, numbered through all of its patterns; an item with several labels of a type has each combination."""
+        terms = [t.first if isinstance(t, Compare) else t for t in flat(parse(text), "&")]
+        terms = [t for t in terms if isinstance(t, Typed) and is_pattern(t.label.text)]
+        if not terms:
+            raise QueryError("captures need a query with a pattern")
+        out = None
+        for t in terms:
+            d = c.get(t.type)
             if d.column:
                 values = c.items.select("item_id", F.col(d.column).cast("string").alias("value"))
             else:
-                values = c.tags.where(F.col("type") == source.type).select("item_id", F.col("label_str").alias("value"))
-            caps = E.captures(values.join(hits, "item_id", "left_semi"), source.label.text)
-        self.write("user_tags", cut(E.tag(self.read("user_tags"), E.new_tags(hits, parts, c, caps), c)))
+                values = Space(Engine(c)).rows(t.type).select("item_id", F.coalesce("label_str", F.col("label_int").cast("string"), F.col("label_double").cast("string")).alias("value"))
+            one = (d.capture or E.captures)(values.join(hits, "item_id", "left_semi"), d.interpret(t.label.text) if d.interpret else t.label.text)
+            out = one if out is None else out.join(one.withColumnRenamed("captures", "__more"), "item_id").select("item_id", F.concat("captures", "__more").alias("captures"))
+        return out
+
+    def tag(self, text: str, edit: str, conflict: str = "abort", hardlink: str = "abort", dry: bool = False) -> list:
+        """Put the tags of an edit on a query's items; {n} is what the n-th wildcard of its patterns matched.
+
+        Labels of a file's path move it, those of its time change it, a content goes into a stored item; all others are user tags.
+        Returns the moves; with dry, nothing is changed.
+        """
+        c, hits = self._hits(text)
+        parts = E.parse_edit(edit)
+        caps = self.captured(text, c, hits) if any("{" in (p.label or "") + p.type for p in parts) else None
+        new = E.new_tags(hits, parts, c, caps)
+        by: dict[str, list[str]] = {}
+        for p in parts:
+            by.setdefault(c.get(p.type).strategy, []).append(p.type)
+        rows = lambda strategy: new.where(F.col("type").isin(by.get(strategy, [])))
+        plan = cut(E.moves(self.read("files"), rows("relocate"), conflict, hardlink)) if "relocate" in by else None
+        moved = plan.limit(1000).collect() if plan is not None else []  # for display
+        if dry:
+            return moved
+        if plan is not None:
+            E.move_files(plan)
+            files = self.read("files")
+            after = files.join(plan.select("item_id", "target"), "item_id").withColumn("path", F.col("target"))
+            self.write("files", cut(key_replace(files, path_attributes(after).select(*files.columns), "item_id")))
+        if "attribute" in by:
+            self.write("files", cut(E.set_times(self.read("files"), rows("attribute"))))
+        if "inject" in by:
+            self.write("item_references", cut(E.inject(self.read("item_references"), rows("inject"))))
+        rest = new.where(~F.col("type").isin([t for s in ("relocate", "attribute", "inject") for t in by.get(s, [])]))
+        if set(by) - {"relocate", "attribute", "inject"}:
+            self.write("user_tags", cut(E.tag(self.read("user_tags"), rest, c)))
+        return moved
 
     def untag(self, text: str, edit: str) -> None:
         """Take tags from a query's items; ``item_id:`` deletes stored items with all their tags."""

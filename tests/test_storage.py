@@ -12,7 +12,7 @@ from tagloom.functions import display
 from tagloom.functions.ids import allocate, origin_of, shown_id
 from tagloom.operators import edit as E
 from tagloom.operators import incremental as I
-from tagloom.operators.merge import key_replace, read_metadata, read_or_empty, tag_layout, write_atomic
+from tagloom.operators.merge import current, key_replace, read_metadata, read_or_empty, tag_layout, write_atomic
 from tagloom.operators.oneview import long_catalog, oneview, prefer
 from tagloom.plans.catalog import TAG_COLUMNS, TagDef
 from tagloom.plans.compiler import Engine
@@ -68,9 +68,15 @@ def test_merge_and_atomic_tables(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     assert read_or_empty(spark, path, "k long, v string").count() == 0 and read_metadata(spark, path) == {}
     write_atomic(old, path, {"by": 1})
-    write_atomic(key_replace(spark.read.parquet(path), new, "k"), path, {"by": 2})
-    assert spark.read.parquet(path).count() == 5 and read_metadata(spark, path) == {"by": 2}
-    assert [x for x in os.listdir(tmp_path) if x != "t"] == []
+    first = current(spark, path)
+    write_atomic(key_replace(spark.read.parquet(first), new, "k"), path, {"by": 2})
+    read = lambda: spark.read.parquet(current(spark, path))
+    assert read().count() == 5 and read_metadata(spark, path) == {"by": 2}
+    assert spark.read.parquet(first).count() == 3  # who reads the version before is not disturbed
+    os.mkdir(tmp_path / "t/_tmp-left")  # a writer that died leaves the table as it is
+    assert read().count() == 5
+    write_atomic(old, path)
+    assert read().count() == 3 and read_metadata(spark, path) == {} and first.rpartition("/")[2] not in os.listdir(tmp_path / "t")
     tags = spark.createDataFrame([(k, f"t{k % 3}", str(k), None, None, None) for k in range(90)], TAG_COLUMNS)
     assert tag_layout(tags, 3).rdd.getNumPartitions() == 3 and tag_layout(tags).count() == 90
 
@@ -183,13 +189,53 @@ def test_cache_and_watch(spark, tmp_path):
     scans, table = f"file://{tmp_path}/scans", f"file://{tmp_path}/files"
     one = scan(spark, [("r/a", "f1", 1, 1), ("r/b", "f2", 2, 1)])
     one.coalesce(1).write.mode("append").parquet(scans)
-    run = lambda: watch(spark, scans, SCAN, table, FILES, f"file://{tmp_path}/cp").awaitTermination(120)
+    gone = f"file://{tmp_path}/gone"
+    run = lambda: watch(spark, scans, SCAN, table, FILES, f"file://{tmp_path}/cp", gone).awaitTermination(120)
+    now = lambda: {r.path: (r.item_id, r.size) for r in spark.read.parquet(current(spark, table)).collect()}
     assert run()
-    first = {r.path: r.item_id for r in spark.read.parquet(table).collect()}
+    first = now()
     scan(spark, [("r/b", "f2", 9, 3), ("r/c", "f3", 3, 3)]).coalesce(1).write.mode("append").parquet(scans)
     assert run()
-    second = {r.path: (r.item_id, r.size) for r in spark.read.parquet(table).collect()}
-    assert set(second) == {"r/b", "r/c"} and second["r/b"] == (first["r/b"], 9)
+    second = now()
+    assert set(second) == {"r/b", "r/c"} and second["r/b"] == (first["r/b"][0], 9)
+    # The id of a deleted file is not given to another one, and it comes back with the file.
+    assert second["r/c"][0] not in {i for i, _ in first.values()}
+    scan(spark, [("r/b", "f2", 9, 3), ("r/a", "f1", 1, 1), ("r/d", "f4", 4, 4)]).coalesce(1).write.mode("append").parquet(scans)
+    assert run()
+    third = now()
+    assert third["r/a"] == first["r/a"] and third["r/d"][0] not in {i for i, _ in (*first.values(), *second.values())}
+    assert [r.path for r in spark.read.parquet(current(spark, gone)).collect()] == ["r/c"]
+
+
+def test_hard_links_share_no_id(spark):
+    files = scan(spark, [("c/x", "f1", 5, 1)]).withColumn("item_id", F.lit(8 * BLOCK).cast("long")).withColumn("rank", F.lit(0).cast("long"))
+    now = scan(spark, [("a/x", "f1", 5, 1), ("b/x", "f1", 5, 1)])
+    d = I.diff(now, files)
+    after = {r.path: r.item_id for r in I.apply(files, d).collect()}
+    assert after["a/x"] == 8 * BLOCK and len(set(after.values())) == 2 and d.deleted.count() == 0
+
+
+def test_scans_leave_out_what_is_ignored(spark, tmp_path):
+    root = tmp_path / "repo"
+    for name in ("a.rs", "a.log", "keep.log", "build/x.o", "sub/build/y.o", "sub/a.log", "sub/deep/z.tmp", "sub/deep/z.rs", ".hidden", "top/only.txt", "sub/only.txt", "doc/a/b.pdf"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(name)
+    (root / ".gitignore").write_text("# logs\n*.log\n!keep.log\nbuild/\n/top/*.txt\ndoc/**/*.pdf\n")
+    (root / "sub/.gitignore").write_text("*.[to]mp\n")
+    seen = lambda at: {r.path[len(str(root)) + 1 :] for r in scan_tree(spark, [str(at)]).where("NOT is_dir").collect()}
+    outside = seen(root)
+    assert {"a.log", "build/x.o", "top/only.txt"} <= outside  # not a repository: these files have no meaning
+    (root / ".git").mkdir()
+    assert seen(root) == {"a.rs", "keep.log", "sub/deep/z.rs", ".hidden", "sub/only.txt", ".gitignore", "sub/.gitignore"}
+    assert seen(root / "sub") == {"sub/deep/z.rs", "sub/only.txt", "sub/.gitignore"}  # rules from above hold, too
+    (root / "sub/.ignore").write_text("only.*\n")
+    assert "sub/only.txt" not in seen(root)
+    many = tmp_path / "many"
+    for k in range(100):
+        (many / f"d{k}/e").mkdir(parents=True)
+        (many / f"d{k}/e/f").write_text("x")
+    df = scan_tree(spark, [str(many)])
+    assert df.rdd.getNumPartitions() > 64 and df.count() == 301
 
 
 def test_display():
