@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, prepare, table, text_bytes
+from .common import materialize, partitions, prepare, table, text_bytes, tidied
 
 TURN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>\n"
 _MARKED = re.compile(r"<(\\+)\|")
@@ -70,6 +70,7 @@ _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 def format_chats(rows: DataFrame) -> DataFrame:
     """Parts of formatted conversations; loss spans are byte offsets in a part's UTF-8."""
 
+    @tidied
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n_part = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -134,6 +135,7 @@ class _Digest:
 def read_back(parts: DataFrame) -> DataFrame:
     """One row per conversation, from the written parts."""
 
+    @tidied
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for batch in batches:
@@ -148,6 +150,7 @@ def read_back(parts: DataFrame) -> DataFrame:
         if now:
             yield _batch([now.row()])
 
+    @tidied
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +14,28 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of one Arrow batch sent to Python; a batch of long texts stays small.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def tidy() -> None:
+    """Give memory that is free back to the system: a worker that is used again would keep it beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim:
+        trim(0)
+
+
+def tidied(run: Callable) -> Callable:
+    """A function over Arrow batches that tidies up when its task is done."""
+
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return whole
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -53,6 +77,61 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Workspace:
+    """Tables of one run: ``ws(df, name)`` materializes, ``clear()`` deletes all of them."""
+
+    def __init__(self):
+        self.made: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+        self.made.append(materialize(df, name, compression))
+        return self.made[-1]
+
+    def drop(self, df: DataFrame) -> None:
+        discard(df)
+        self.made = [x for x in self.made if x is not df]
+
+    def clear(self) -> None:
+        for df in self.made:
+            discard(df)
+        self.made = []
+
+
+def free(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores after it as set it apart from those that are taken."""
+    out, held = [], {x.lower() for x in taken}
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
+def slices(column: pa.Array, size: int) -> Iterator[pa.Array]:
+    """A text column in parts of at most about so many bytes, one text at least."""
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, a = np.cumsum(lengths), 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, side="right")))
+        yield column.slice(a, b - a)
+        a = b
+
+
+def chunks(batches: Iterator[pa.RecordBatch], size: int, at: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until the texts in column number at have at least so many bytes."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.column(at).nbytes
+        if n >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+            tidy()
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -10,12 +10,16 @@ least need(the smaller size): no link is lost.  Should a set have fewer non-empt
 finer for the whole corpus (``levels``).
 
 Candidates.  Nodes that share fewer than need() signatures with others are out.  Each other node gets as pivot the node that heads
-most of its signature groups (the one with most partners), and is verified against it.  For two nodes x, y with one pivot p:
+most of its signature groups (the one with most partners), and is verified against it; a large family is dealt out to tasks.  For two nodes x, y with one pivot p:
 if both link to p they are connected; else a link needs (a) a common feature outside p, found by the d + 1 least such features, or
 (b) that the parts of both inside p suffice: 9 |x & p|, 9 |y & p| >= 4 (r + s), possible only if one does not link to p and the
-other is smaller than p.  Nodes with different pivots are (c) compared if they share need() signatures.  All other pairs cannot
+other is smaller than p.  Nodes with different pivots are (c) compared if they share one of the signatures that are left when
+each has put aside its need() - 1 most frequent ones: of need() shared ones the rarest is left with both.  All other pairs cannot
 link; so a family of n copies costs about n verifications, not n squared.  Verification intersects the sets themselves.
 
+Hot signatures, of a passage that very many documents hold, are found on a sample; all of their nodes share them, so their rows
+are spread by node instead of being gathered.  The sample only says which way a row goes; no row is left out.
+
 Components come from star contraction over link tables.  Nothing of document scale reaches the driver; every intermediate table is
 written to the shared folder.  Broadcasts happen below BROADCAST_ROWS counted rows only, else the join is shuffled.
 
@@ -35,10 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import binary_column, discard, materialize, mix, prepare, table, text_bytes, word_hashes, word_spans
+from .common import Workspace, binary_column, discard, free, materialize, mix, prepare, slices, table, text_bytes, tidied, word_hashes, word_spans
 
 SHINGLE = 5
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
+#: Bytes of texts, signatures and names of sets that a task holds at a time.
+SLICE, ROWS, SEEN = 1 << 20, 1 << 17, 50_000
+#: Signatures that HOT of about SAMPLE texts show are spread over tasks; a family of over FAMILY members is, too.
+SAMPLE, HOT, FAMILY = 10_000, 20, 2_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -47,24 +55,23 @@ _WORD[[9, 10, 11, 12, 13, 32]] = False
 _STEP = mix(np.arange(101, 101 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 
 
-def shingle_sets(column: pa.Array) -> list[np.ndarray]:
+def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    data, offsets = text_bytes(column)
-    data = _LOWER[data]
-    starts, ends, at = word_spans(data, offsets, _WORD)
-    words = word_hashes(data, starts, ends)
-    with np.errstate(over="ignore"):
-        n = len(words) - SHINGLE + 1
-        shingles = mix(sum((words[k : k + n] * _STEP[k] for k in range(SHINGLE)), np.zeros(max(n, 0), np.uint64))) if n > 0 else words[:0]
-        out = []
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            if b - a >= SHINGLE:
-                out.append(np.unique(shingles[a : b - SHINGLE + 1]))
-            elif b > a:
-                out.append(mix(np.array([(words[a:b] * _STEP[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a)])))
-            else:
-                out.append(words[:0])
-    return out
+    for some in slices(column, SLICE):
+        data, offsets = text_bytes(some)
+        data = _LOWER[data]
+        starts, ends, at = word_spans(data, offsets, _WORD)
+        words = word_hashes(data, starts, ends)
+        with np.errstate(over="ignore"):
+            n = len(words) - SHINGLE + 1
+            shingles = mix(sum((words[k : k + n] * _STEP[k] for k in range(SHINGLE)), np.zeros(max(n, 0), np.uint64))) if n > 0 else words[:0]
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if b - a >= SHINGLE:
+                    yield np.unique(shingles[a : b - SHINGLE + 1])
+                elif b > a:
+                    yield mix(np.array([(words[a:b] * _STEP[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a)]))
+                else:
+                    yield words[:0]
 
 
 def node_of(s: np.ndarray) -> int:
@@ -130,6 +137,7 @@ CLASSES = "doc_id long, h long, n long, node long, j int, level int, next_level
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, hash of the text, set size and node of every row; and what levels its instances need."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -152,35 +160,64 @@ def levels(found: DataFrame) -> dict[int, int]:
 
 
 def signature_rows(docs: DataFrame, level: dict[int, int]) -> DataFrame:
-    """(sig, node, n) of every set; a task shows a set once however many copies it meets."""
+    """(sig, node, n) of every set; a task shows a set once for up to SEEN others between its copies."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, sizes = set(), {}
+        sigs, nodes, ns, held = [], [], [], 0
+
+        def done() -> pa.RecordBatch:
+            nonlocal held
+            counts = [len(x) for x in sigs]
+            columns = [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), counts)), pa.array(np.repeat(np.array(ns, np.int32), counts))]
+            sigs.clear(), nodes.clear(), ns.clear()
+            held = 0
+            return pa.RecordBatch.from_arrays(columns, names=["sig", "node", "n"])
+
         for batch in batches:
-            sigs, nodes, counts, ns = [], [], [], []
             for s in shingle_sets(batch.column(0)):
                 n = len(s)
                 if not n or (node := node_of(s)) in seen:
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add(node)
                 for j in instances(n):
                     if j not in sizes:
                         sizes[j] = parts(j, level.get(j, 0))
                     got = signatures(s, j, sizes[j])[: shown(n)]
-                    sigs.append(got), nodes.append(node), counts.append(len(got)), ns.append(n)
-            if sigs:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), counts)), pa.array(np.repeat(np.array(ns, np.int32), counts))], names=["sig", "node", "n"]
-                )
+                    sigs.append(got), nodes.append(node), ns.append(n)
+                    held += len(got)
+                if held >= ROWS:
+                    yield done()
+        if held:
+            yield done()
 
     return docs.select("text").mapInArrow(run, "sig long, node long, n int")
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """The rows of signatures that two nodes or more show."""
-    w = Window.partitionBy("sig")
-    marked = rows.withColumn("lo", F.min("node").over(w)).withColumn("hi", F.max("node").over(w))
-    return marked.where("lo <> hi").drop("lo", "hi")
+def hot_signatures(docs: DataFrame, rows: int, level: dict[int, int]) -> DataFrame:
+    """Signatures that many sets show, found on about SAMPLE texts: at most a bounded number of rows, however many texts there are."""
+    some = docs.where(F.pmod(F.xxhash64(F.lit("hot"), "text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / max(1, rows))))
+    found = signature_rows(some, level).select("sig", "node").distinct().groupBy("sig").agg(F.count("*").alias("c"))
+    return found.where(F.col("c") >= HOT).select("sig")
+
+
+def _first_shared(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """The rows of signatures that two nodes or more show. Those of hot ones need no look at their others, so each goes its own way."""
+    marked = rows.join(_small(hot).withColumn("hot", F.lit(True)), "sig", "left").withColumn("salt", F.when(F.col("hot"), F.col("node")).otherwise(0))
+    w = Window.partitionBy("sig", "salt")
+    marked = marked.withColumn("lo", F.min("node").over(w)).withColumn("hi", F.max("node").over(w))
+    return marked.where("hot OR lo <> hi").select("sig", "node", "n")
+
+
+def _shared(rows: DataFrame, *more: str) -> DataFrame:
+    """The rows of signatures that two nodes or more show, with more columns that differ, too: sums a signature, then a join that may be split."""
+    by = ("node", *more)
+    ends = rows.groupBy("sig").agg(*(f(c).alias(f"{c}{k}") for c in by for k, f in enumerate((F.min, F.max))))
+    both = ends.where(" AND ".join(f"{c}0 <> {c}1" for c in by)).select("sig")
+    return rows.join(both, "sig", "left_semi")
 
 
 _EIGHTY = "CAST((4 * n + 4) DIV 5 AS INT)"
@@ -204,14 +241,15 @@ def _small(df: DataFrame) -> DataFrame:
 _ROW = "struct(doc_id IS NULL AS none, doc_id, h)"
 
 
-def fetch_sets(docs: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
+def fetch_sets(docs: DataFrame, found: DataFrame, nodes: DataFrame, ws: Workspace) -> DataFrame:
     """(node, items) of the given nodes: their sorted features as bytes, from one document each; from one without a doc_id only if no other has the node."""
     first = found.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.expr(_ROW)).alias("r"))
-    wanted = materialize(first.select("r.*").distinct(), "wanted")
+    wanted = ws(first.select("r.*").distinct(), "wanted")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(batch.column(0))
+            sets = list(shingle_sets(batch.column(0)))
             at = np.concatenate([[0], np.cumsum([8 * len(s) for s in sets])])
             data = np.concatenate(sets).view(np.uint8) if sets else np.zeros(0, np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), binary_column(data, at)], names=["node", "items"])
@@ -227,9 +265,10 @@ def fetch_sets(docs: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame
 VERIFIED = "p long, x long, np long, nx long, inter long, own array<long>"
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, ws: Workspace) -> DataFrame:
     """Sizes and intersection of each pair (p, x), and the least nx / 4 + 1 features of x outside p."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p, x = batch.column(0), batch.column(1)
@@ -242,12 +281,17 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([p, x, *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.list_(pa.int64()))], names=["p", "x", "np", "nx", "inter", "own"])
 
-    pairs = materialize(pairs.select("p", "x").distinct(), "pairs")
-    heads = pairs.select("p").distinct()
-    left = sets.withColumnsRenamed({"node": "x", "items": "xs"}).join(_small(pairs), "x").select("p", "x", "xs")
-    right = sets.withColumnsRenamed({"node": "p", "items": "ps"}).join(_small(heads), "p", "left_semi")
+    pairs = ws(pairs.select("p", "x").distinct(), "pairs")
+    # A large family is dealt out: each part of it meets its own copy of the pivot's set.
+    large = pairs.groupBy("p").agg(F.expr(f"count(*) DIV {FAMILY} + 1").alias("deal")).where("deal > 1")
+    large = _small(ws(large, "large"))
+    deal = F.coalesce("deal", F.lit(1))
+    heads = pairs.select("p").distinct().join(large, "p", "left").select("p", F.explode(F.sequence(F.lit(0), (deal - 1).cast("int"))).alias("part"))
+    members = pairs.join(large, "p", "left").select("p", "x", F.pmod(F.xxhash64("x"), deal).cast("int").alias("part"))
+    left = sets.withColumnsRenamed({"node": "x", "items": "xs"}).join(_small(members), "x").select("p", "part", "x", "xs")
+    right = sets.withColumnsRenamed({"node": "p", "items": "ps"}).join(_small(heads), "p").select("p", "part", "ps")
     # Python gets pairs of sets: a bounded number at a time.
-    return materialize(left.join(right, "p").select("p", "x", "ps", "xs").mapInArrow(run, VERIFIED), "verified")
+    return ws(left.join(right, ["p", "part"]).select("p", "x", "ps", "xs").mapInArrow(run, VERIFIED), "verified")
 
 
 LINK = "9 * inter >= 4 * (np + nx)"
@@ -266,19 +310,20 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "a").select("b", "m").where("b <> m").union(least).toDF("a", "b").distinct()
         after = materialize(small, "small")
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
-        discard(large)
+        discard(large), discard(edges)
         if mark == before:
             return after.withColumnsRenamed({"a": "node", "b": "root"})
         before, edges = mark, after
 
 
-def links(docs: DataFrame, found: DataFrame) -> DataFrame:
+def links(docs: DataFrame, found: DataFrame, ws: Workspace) -> DataFrame:
     """Edges (a, b) between nodes whose components are those of all links."""
-    rows = signature_rows(docs, levels(found))
-    shared = materialize(_shared(rows).distinct(), "shared")
+    level = levels(found)
+    hot = ws(hot_signatures(docs, found.count(), level), "hot")
+    shared = ws(_first_shared(signature_rows(docs, level), hot).distinct(), "shared")
     for k in range(2):
-        less = materialize(_shared(_enough(shared, ["sig", "node", "n"])), f"shared{k}")
-        discard(shared)
+        less = ws(_shared(_enough(shared, ["sig", "node", "n"])), f"shared{k}")
+        ws.drop(shared)
         shared = less
     # Pivots: the node with most partners heads a group; a node's pivot heads most of its groups.
     groups = shared.groupBy("sig").agg(F.count("*").alias("size"))
@@ -286,22 +331,29 @@ def links(docs: DataFrame, found: DataFrame) -> DataFrame:
     heads = shared.join(weights, "node").groupBy("sig").agg(F.max(F.struct("weight", "node")).alias("head"))
     votes = shared.join(heads, "sig").groupBy("node", "head").agg(F.count("*").alias("votes"))
     pivots = votes.groupBy("node").agg(F.max(F.struct("votes", "head"))["head"]["node"].alias("p"))
-    pivots = materialize(pivots.select("p", F.col("node").alias("x")), "pivots")
-    sets = materialize(fetch_sets(docs, found, pivots.select(F.col("x").alias("node"))), "sets", "none")
-    near = verify(pivots.where("p <> x"), sets)
+    pivots = ws(pivots.select("p", F.col("node").alias("x")), "pivots")
+    sets = ws(fetch_sets(docs, found, pivots.select(F.col("x").alias("node")), ws), "sets", "none")
+    near = verify(pivots.where("p <> x"), sets, ws)
     first = components(near.where(LINK).select(F.col("p").alias("a"), F.col("x").alias("b")))
-    pairs = candidates(shared, pivots, near, first)
-    rest = verify(pairs, sets).where(LINK)
+    ws.made.append(first)
+    rest = verify(candidates(shared, pivots, near, first, ws), sets, ws).where(LINK)
     return near.where(LINK).select(F.col("p").alias("a"), F.col("x").alias("b")).unionByName(rest.select(F.col("p").alias("a"), F.col("x").alias("b")))
 
 
-def candidates(shared: DataFrame, pivots: DataFrame, near: DataFrame, first: DataFrame) -> DataFrame:
+def rare(rows: DataFrame) -> DataFrame:
+    """The rows without each node's most frequent signatures: one less than a link needs of an instance. Of the signatures that two similar sets share, the rarest stays with both."""
+    size = rows.groupBy("sig").agg(F.count("*").alias("size"))
+    order = Window.partitionBy("node", F.expr("sig & 1")).orderBy(F.desc("size"), "sig")
+    return rows.join(size, "sig").withColumn("place", F.row_number().over(order)).where(F.expr(f"place >= {_NEED}")).drop("size", "place")
+
+
+def candidates(shared: DataFrame, pivots: DataFrame, near: DataFrame, first: DataFrame, ws: Workspace) -> DataFrame:
     """Pairs (p, x) of nodes not connected yet that may link, by rules (a), (b) and (c)."""
     roots = first.select(F.col("node").alias("x"), "root")
     member = near.withColumn("near", F.expr(LINK)).join(roots, "x", "left").withColumn("root", F.coalesce("root", "x"))
     far = member.where("NOT near").select("p").distinct()
     # Only families with a member that does not link to the pivot are of interest.
-    member = materialize(member.join(far, "p", "left_semi"), "members")
+    member = ws(member.join(far, "p", "left_semi"), "members")
     side = lambda s: member.select("p", *(F.col(c).alias(s + c) for c in ("x", "nx", "inter", "near", "root")), F.col("np"))
     u = side("u").where("NOT unear").drop("np")
     v = side("v")
@@ -319,43 +371,48 @@ def candidates(shared: DataFrame, pivots: DataFrame, near: DataFrame, first: Dat
     apart_b = F.expr("uroot <> vroot AND ux <> vx AND 5 * unx >= 4 * vnx AND 5 * vnx >= 4 * unx")
     b = edge.join(v.where("vnx < np"), "p").where(apart_b & inside).select(F.col("ux").alias("p"), F.col("vx").alias("x"))
     pivot = pivots.withColumnRenamed("x", "node").join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = shared.join(pivot, "node")
-    w = Window.partitionBy("sig")
-    mixed = rows.withColumn("lo", F.min("p").over(w)).withColumn("hi", F.max("p").over(w)).withColumn("rl", F.min("root").over(w)).withColumn("rh", F.max("root").over(w))
-    mixed = materialize(_enough(mixed.where("lo <> hi AND rl <> rh"), ["sig", "node", "n", "p", "root"]), "mixed")
-    left = mixed.select("sig", *(F.col(c).alias("u" + c) for c in ("node", "n", "p", "root")))
-    right = mixed.select("sig", *(F.col(c).alias("v" + c) for c in ("node", "n", "p", "root")))
+    mixed = ws(shared.join(pivot, "node"), "placed")
+    mixed = ws(_enough(_shared(mixed, "p", "root"), ["sig", "node", "n", "p", "root"]), "mixed")
+    few = ws(rare(mixed), "rare")
+    left = few.select("sig", *(F.col(c).alias("u" + c) for c in ("node", "n", "p", "root")))
+    right = few.select("sig", *(F.col(c).alias("v" + c) for c in ("node", "n", "p", "root")))
     cross = left.join(right, "sig").where("unode < vnode AND up <> vp AND uroot <> vroot AND 5 * un >= 4 * vn AND 5 * vn >= 4 * un")
-    counted = cross.groupBy("unode", "vnode", F.expr("sig & 1")).agg(F.count("*").alias("c"), F.least(F.max("un"), F.max("vn")).alias("m"))
-    c = counted.where("c >= CASE WHEN m <= 64 THEN (m + 1) DIV 2 ELSE greatest(32, m DIV 20) END").select(F.col("unode").alias("p"), F.col("vnode").alias("x"))
+    c = cross.select(F.col("unode").alias("p"), F.col("vnode").alias("x"))
     return a.unionByName(b).unionByName(c).select(F.least("p", "x").alias("p"), F.greatest("p", "x").alias("x")).distinct()
 
 
 def rooted(docs: DataFrame) -> DataFrame:
     """doc_id, hash of the text, set size and component's root (null without words) of every row."""
     prepare(docs.sparkSession)
-    found = materialize(classes(docs), "classes")
-    roots = components(links(docs, found))
-    rows = found.select("doc_id", "h", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return materialize(rows.select("doc_id", "h", "n", "root"), "rooted")
+    ws = Workspace()
+    found = ws(classes(docs), "classes")
+    roots = components(links(docs, found, ws))
+    rows = found.select("doc_id", "h", "n", "node").join(_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    out = materialize(rows.select("doc_id", "h", "n", "root"), "rooted")
+    ws.clear(), discard(roots)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row."""
     rows = rooted(docs)
-    least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("c"))
+    # Most documents are alone. What is left is written, so that a large component's rows may be split in the join.
+    least = _small(materialize(least.where("c > 1").select("root", "component_id"), "least"))
+    some = rows.where("root IS NOT NULL").join(least, "root", "left").unionByName(rows.where("root IS NULL").withColumn("component_id", F.lit(None).cast("long")))
+    return some.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of every component: that of its least doc_id, and of the least hash of a text if these repeat; rows without words all stay."""
+    id_, h, n = free(docs.columns, "id", "h", "n")
     rows = rooted(docs).where("root IS NOT NULL").groupBy("root", "doc_id", "h").agg(F.count("*").alias("c"))
     kept = rows.groupBy("root").agg(F.min(F.struct(F.expr(_ROW).alias("r"), "c")).alias("k"))
-    kept = materialize(kept.select(F.col("k.r.doc_id").alias("__id"), F.col("k.r.h").alias("__h"), F.col("k.c").alias("__n")), "kept")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h"))
+    kept = materialize(kept.select(F.col("k.r.doc_id").alias(id_), F.col("k.r.h").alias(h), F.col("k.c").alias(n)), "kept")
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(h))
     empty = docs.where(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x09-\x0D\x20]"))
-    once = docs.join(_small(kept.where("__n = 1").select("__id", "__h")), same, "left_semi").unionByName(empty)
-    again = kept.where("__n > 1").select("__id", "__h")
+    once = docs.join(_small(kept.where(F.col(n) == 1).select(id_, h)), same, "left_semi").unionByName(empty)
+    again = kept.where(F.col(n) > 1).select(id_, h)
     if again.isEmpty():
         return once
     # Rows that repeat a doc_id with its text.

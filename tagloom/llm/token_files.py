@@ -26,10 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, prepare, scratch, table
+from .common import chunks, partitions, prepare, scratch, table, tidied
 
 SEGMENT = 1 << 18
-CHUNK = 12 << 20  # bytes of texts that are encoded together
+CHUNK = 6 << 20  # bytes of texts that are encoded together
 BLOCK = 512
 MAGIC = b"DAC1"
 
@@ -127,7 +127,7 @@ class PieceEncoder:
     the parts that were used last stay.
     """
 
-    KEEP, LONGEST = 1_000_000, 48
+    KEEP, LONGEST = 500_000, 48
     #: Characters of the parts that are encoded as one text.
     TOGETHER = 20_000
 
@@ -276,25 +276,13 @@ def encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Batches joined until their texts (the second column) have at least so many bytes."""
-    held, n = [], 0
-    for batch in batches:
-        held.append(batch)
-        n += batch.column(1).nbytes
-        if n >= size:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held, n = [], 0
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-
 SEGMENTS = "shard int, seg int, first_token long, n_tokens long, doc_ids array<long>, doc_lens array<long>, payload binary"
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, segment: int = SEGMENT) -> None:
     """Encode (doc_id, text) and write segments in ascending doc_id order; shard k holds the k-th range of doc_ids."""
 
+    @tidied
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, shard = encoder(tokenizer), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4")
@@ -311,7 +299,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             ids.clear(), lens.clear(), parts.clear()
             return out
 
-        for chunk in chunks(batches, CHUNK):
+        for chunk in chunks(batches, CHUNK, 1):
             got, at = encode.column(chunk.column(1))
             for doc_id, a, b in zip(chunk.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                 if held and held + b - a + 1 > segment:
@@ -330,6 +318,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per document from the files: doc_id, start, n_tokens, ids_crc32."""
 
+    @tidied
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
