@@ -6,12 +6,13 @@ what all of them cannot take is missing at their parent, whose siblings take it.
 order of capacity by weight are filled until the rest can take its weighted share; shares are rounded down.
 
 A leaf gives whole epochs first.  From the next epoch, in an order seeded by epoch, it gives the longest prefix of documents within
-its remaining tokens.  A leaf of any size is spread over tasks: documents fall into BUCKETS ranges of the order's hash, whose token
-sums place each bucket before or after the prefix's end; only the bucket that holds the end is sorted, inside itself.
+its remaining tokens.  A leaf of any size is spread over tasks: documents fall into 16 ** DIGITS ranges of the order's hash, whose
+token sums tell the bucket in which the prefix ends; only that one is sorted, inside itself.  What goes to all tasks is one row a
+leaf.  Texts are read for their tokens once; sizes and places are worked out on a table of (doc_id, leaf, tokens).
 
 Tokens are runs of characters that are not white space.  Edge cases: null lang or source are empty strings; null texts have no
 tokens; a leaf with weight 0 gets nothing; documents without tokens come with their place in the order; equal doc_ids are ordered by
-tokens, and repeated rows each count; with no tokens at all, nothing is selected; an empty table gives no rows.
+tokens, and repeated rows each count; extra columns may have any name; with no tokens at all, nothing is selected; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import free, materialize, table
 from .ngram_join import _small
 
 LEVELS = ("__domain", "__lang", "__source")
@@ -80,39 +81,64 @@ def budgets(leaves: DataFrame, percent: int = PERCENT, epochs: int = EPOCHS, wei
     return leaves.join(now, parent)
 
 
-def mix(docs: DataFrame, percent: int = PERCENT, epochs: int = EPOCHS, seed: int = SEED, weights: dict[str, str] = WEIGHTS, domain_of=domain) -> DataFrame:
-    """The selected documents: all columns, LEVELS, __n_tokens and __copies (epochs that give it)."""
+def measured(docs: DataFrame, domain_of=domain) -> DataFrame:
+    """row (a struct of all columns of docs, whatever their names), doc_id, LEVELS and __n_tokens."""
     source = F.coalesce(F.col("source"), F.lit(""))
-    rows = docs.select("*", domain_of(source).alias("__domain"), F.coalesce("lang", F.lit("")).alias("__lang"), source.alias("__source"), n_tokens(F.col("text")).alias("__n_tokens"))
-    leaves = materialize(rows.groupBy(*LEVELS).agg(F.sum("__n_tokens").alias("tokens")), "leaves")
-    plan = budgets(leaves, percent, epochs, weights)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    return docs.select(row, "doc_id", domain_of(source).alias("__domain"), F.coalesce("lang", F.lit("")).alias("__lang"), source.alias("__source"), n_tokens(F.col("text")).alias("__n_tokens"))
+
+
+def _place(rows: DataFrame, seed: int) -> DataFrame:
+    """rows of leaves with __whole get the key of the next epoch's order, and its bucket."""
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("__whole") + 1).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return rows.withColumn("__key", key).withColumn("__bucket", F.substring("__key", 1, DIGITS))
+
+
+def plan_of(sizes: DataFrame, percent: int = PERCENT, epochs: int = EPOCHS, seed: int = SEED, weights: dict[str, str] = WEIGHTS) -> DataFrame:
+    """One row a leaf that gives something: __whole epochs, __rest tokens of the next one, the bucket __edge in which these end, and __base tokens before it."""
+    leaves = sizes.groupBy(*LEVELS).agg(F.sum("__n_tokens").alias("tokens"))
+    plan = budgets(materialize(leaves, "leaves"), percent, epochs, weights)
     plan = plan.select(*LEVELS, F.expr("CASE WHEN tokens > 0 THEN budget DIV tokens ELSE 0 END").alias("__whole"), F.expr("CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END").alias("__rest"))
     plan = _small(materialize(plan.where("__whole > 0 OR __rest > 0"), "plan"))
-    rows = rows.join(plan, list(LEVELS))
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("__whole") + 1).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = rows.withColumn("__key", key).withColumn("__bucket", F.substring("__key", 1, DIGITS))
-    # Sums of at most 16 ** DIGITS buckets a leaf, where a leaf has a prefix to give.
-    sums = rows.where("__rest > 0").groupBy(*LEVELS, "__bucket").agg(F.sum("__n_tokens").alias("n"), F.max("__rest").alias("rest"))
+    # Sums of at most 16 ** DIGITS buckets a leaf.
+    rows = _place(sizes.join(plan.where("__rest > 0"), list(LEVELS)), seed)
+    sums = rows.groupBy(*LEVELS, "__bucket").agg(F.sum("__n_tokens").alias("n"), F.max("__rest").alias("rest"))
     done = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("__bucket"))
-    sums = sums.select(*LEVELS, "__bucket", (done - F.col("n")).alias("__base"), "n", "rest")
-    place = F.expr("CASE WHEN __base + n <= rest THEN 1 WHEN __base < rest THEN 0 ELSE -1 END").alias("__place")
-    sums = _small(materialize(sums.select(*LEVELS, "__bucket", "__base", place), "buckets"))
-    rows = rows.join(sums, [*LEVELS, "__bucket"], "left")
-    clear = rows.where("__place IS NULL OR __place <> 0").withColumn("__in", F.expr("coalesce(__place = 1, false)"))
-    order = Window.partitionBy(*LEVELS, "__bucket").orderBy("__key", "doc_id", "__n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    edge = rows.where("__place = 0").withColumn("__in", F.col("__base") + F.sum("__n_tokens").over(order) <= F.col("__rest"))
+    edge = sums.select(*LEVELS, F.col("__bucket").alias("__edge"), (done - F.col("n")).alias("__base"), done.alias("done"), "rest").where("__base <= rest AND rest < done")
+    return _small(materialize(plan.join(edge.drop("done", "rest"), list(LEVELS), "left"), "edges"))
+
+
+def pick(rows: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
+    """The measured rows that the plan takes, and __copies. Only rows in the bucket of a leaf's edge are sorted."""
+    rows = _place(rows.join(plan, list(LEVELS)), seed)
+    clear = rows.where("__edge IS NULL OR __bucket <> __edge").withColumn("__in", F.expr("coalesce(__bucket < __edge, false)"))
+    order = Window.partitionBy(*LEVELS).orderBy("__key", "doc_id", "__n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    edge = rows.where("__bucket = __edge").withColumn("__in", F.col("__base") + F.sum("__n_tokens").over(order) <= F.col("__rest"))
     both = clear.unionByName(edge).withColumn("__copies", F.col("__whole") + F.col("__in").cast("long"))
-    return both.where("__copies > 0").select(*docs.columns, *LEVELS, "__n_tokens", "__copies")
+    return both.where("__copies > 0").select("row", *LEVELS, "__n_tokens", "__copies")
+
+
+def sizes_of(docs: DataFrame, domain_of=domain) -> DataFrame:
+    """doc_id, LEVELS and __n_tokens of every row, written: texts are read for their tokens once."""
+    return materialize(measured(docs, domain_of).select("doc_id", *LEVELS, "__n_tokens"), "sizes")
+
+
+def mix(docs: DataFrame, percent: int = PERCENT, epochs: int = EPOCHS, seed: int = SEED, weights: dict[str, str] = WEIGHTS, domain_of=domain) -> DataFrame:
+    """The selected documents: all columns, LEVELS, __n_tokens and __copies (epochs that give it); with _ after a name that docs has itself."""
+    plan = plan_of(sizes_of(docs, domain_of), percent, epochs, seed, weights)
+    own = [*LEVELS, "__n_tokens", "__copies"]
+    return pick(measured(docs, domain_of), plan, seed).select("row.*", *(F.col(c).alias(x) for c, x in zip(own, free(docs.columns, *own), strict=True)))
 
 
 def select_mixture(docs: DataFrame) -> DataFrame:
     """One epoch at most of every document, its own columns only."""
-    return mix(docs, epochs=1).select(*docs.columns)
+    return pick(measured(docs), plan_of(sizes_of(docs), epochs=1)).select("row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    return rows.select("doc_id", F.col("__domain").alias("domain"), F.col("__lang").alias("lang"), F.col("__source").alias("source"), F.col("__n_tokens").alias("n_tokens"), F.col("__copies").alias("copies"))
+    sizes = sizes_of(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    rows = pick(sizes.withColumn("row", F.struct("doc_id")), plan_of(sizes))
+    return rows.select("row.doc_id", F.col("__domain").alias("domain"), F.col("__lang").alias("lang"), F.col("__source").alias("source"), F.col("__n_tokens").alias("n_tokens"), F.col("__copies").alias("copies"))
 
 
 def _level(k: int) -> str:

@@ -58,3 +58,26 @@ def test_selection_against_sql_and_its_prefixes(spark):
     once = m.select_mixture(df)
     assert once.columns == df.columns and once.count() <= len(rows)
     assert m.mix(df.limit(0)).count() == 0 and m.mix(df.where("text IS NULL")).count() == 0
+
+
+def test_clashing_columns_and_a_very_long_text(spark):
+    rows = [(k, "w " * (1 + k), "en", f"s{k % 3}", f"d{k}", 5, "a", 1) for k in range(60)] + [(60, "x " * 400_000, "de", "s0", "d", 5, "a", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, __domain string, __key int, row string, __copies int")
+    once = m.select_mixture(df)
+    assert once.columns == df.columns
+    got = {r["doc_id"]: r for r in once.collect()}
+    assert got and all(tuple(r) == rows[k] for k, r in got.items())
+    plain = m.select_mixture(df.select("doc_id", "text", "lang", "source"))
+    assert {r["doc_id"] for r in plain.collect()} == got.keys()
+    more = m.mix(df)
+    assert more.columns[:8] == df.columns and {r["__domain_"] for r in more.collect()} <= {f"domain{k}" for k in range(4)}
+
+
+def test_documents_without_tokens_at_the_edge(spark):
+    # The prefix ends where a bucket does; the next ones' documents without tokens come with it only up to the end.
+    rows = [(k, "" if k % 3 else "a b", "en", "s") for k in range(300)]
+    con = duckdb.connect()
+    con.register("documents", pa.table({n: pa.array([r[k] for r in rows]) for k, n in enumerate(("doc_id", "text", "lang", "source"))}))
+    want = sorted(r[0] for r in con.sql(m.ORACLE_SQL["op7_mixing"]).fetchall())
+    got = m.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == want
