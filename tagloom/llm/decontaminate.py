@@ -1,33 +1,32 @@
 """Benchmark decontamination with an FM-index per shard of training text.
 
 Words are runs of ASCII letters (lowered), digits and non-ASCII characters.  Test phrases are all windows of WINDOW consecutive
-words of an item, or the whole of a shorter one.  A task cuts its documents into shards of about SHARD bytes.  A shard's text is its
-sequence of word numbers in the phrases' vocabulary, without runs too short to hold a phrase (a word outside the vocabulary
-ends a run, so nothing is lost).  Its index is a Burrows-Wheeler transform over a full suffix array, a wavelet matrix for ranks,
-and suffix positions sampled at every STEP-th place and at run starts.  All phrases are searched backwards together; occurrences are
-located by walking to a sampled row; their word spans are merged.
-
-Phrases go to the tasks with the function, so their number is bounded: a test set of over BLOCK_WORDS words is worked off in
-blocks, each over all documents, and spans and items add up.
-
-Edge cases: null or empty texts have no words and are clean; null or empty texts of items give no phrase; phrases of items without an id count as hits,
-but for no item; an item id with several texts has
-all their phrases; equal phrases belong to all their items; repeated documents each get a row; extra columns are kept aside.
+words of an item, or the whole of a shorter one.  A task joins its documents into shards of about SHARD bytes and indexes all words
+of a shard: its text is the sequence of the words' numbers, an end after each document.  The index is a Burrows-Wheeler transform
+over a full suffix array, a wavelet matrix with rank directories, and suffix positions sampled at every STEP-th place and at the
+documents' starts.  All phrases are searched backwards together; occurrences are located by walking to a sampled row; their word
+spans are merged.
+
+Phrases go to the tasks with the function, as word hashes.  A test set of over BLOCK_WORDS words is worked off block by block: the
+driver holds one block, its spans and items are written with the documents, and those of the next block are added to them.
+
+Edge cases: null or empty texts have no words and are clean; null or empty texts of items give no phrase; phrases of items without
+an id count as hits, but for no item; an item id with several texts has all their phrases; equal phrases belong to all their items;
+repeated documents each get a row; a text longer than SHARD is a shard; extra columns stay, whatever their names; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, table, text_bytes, word_hashes, word_spans
+from .common import chunks, free, materialize, prepare, table, text_bytes, tidied, word_hashes, word_spans
 
 WINDOW, SHARD, STEP, BLOCK_WORDS = 13, 4 << 20, 8, 1_000_000
 
@@ -37,116 +36,137 @@ _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 
 
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word, and the number of words before each text."""
+    data = _LOWER[data]
+    starts, ends, at = word_spans(data, offsets, _WORD)
+    return word_hashes(data, starts, ends), at
+
+
 class Phrases:
-    """The test phrases of some items: vocabulary, word numbers, and the items of each phrase."""
+    """The test phrases of some items: word hashes, and start, length and item of each phrase there."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         self.items = sorted({i for i, _ in items if i is not None})
-        number = {i: k for k, i in enumerate(self.items)}
-        data, offsets = text_bytes(pa.array([t for _, t in items], pa.string()))
-        data = _LOWER[data]
-        starts, ends, at = word_spans(data, offsets, _WORD)
-        hashes = word_hashes(data, starts, ends)
-        self.vocabulary, ids = np.unique(hashes, return_inverse=True)
-        owners = defaultdict(set)
-        for k, (item, _) in enumerate(items):
-            words = (ids[at[k] : at[k + 1]] + 1).tolist()
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                owners[tuple(words[i : i + window])] |= {number[item]} if item is not None else set()
-        found = sorted(owners)
-        self.lengths = np.array([len(p) for p in found], np.int64)
-        self.shortest = int(self.lengths.min()) if found else 0
-        width = int(self.lengths.max()) if found else 0
-        self.words = np.zeros((len(found), width), np.int64)  # right-aligned
-        for k, p in enumerate(found):
-            self.words[k, width - len(p) :] = p
-        self.owners = [sorted(owners[p]) for p in found]
-        # A table of the top bits of the vocabulary's hashes, to pass over most other words at once.
-        self.top = np.zeros(1 << 20, bool)
-        self.top[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
-
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """1 + the place of each word in the vocabulary, or 0."""
-        out = np.zeros(len(hashes), np.int64)
-        maybe = np.flatnonzero(self.top[(hashes >> np.uint64(44)).astype(np.int64)])
-        place = np.searchsorted(self.vocabulary, hashes[maybe])
-        place[place == len(self.vocabulary)] = 0
-        hit = self.vocabulary[place] == hashes[maybe]
-        out[maybe[hit]] = place[hit] + 1
-        return out
+        number = {i: k for k, i in enumerate(self.items)} | {None: -1}
+        hashes, at = words_of(*text_bytes(pa.array([t for _, t in items], pa.string())))
+        size = np.diff(at)
+        many = np.where(size > 0, np.maximum(1, size - window + 1), 0)
+        ends = np.cumsum(many)
+        self.starts = np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[:-1] - (ends - many), many)
+        self.lengths = np.repeat(np.minimum(size, window), many)
+        self.owner = np.repeat(np.array([number[i] for i, _ in items], np.int64), many)
+        self.vocabulary, self.words = np.unique(hashes, return_inverse=True)
+
+
+class Bits:
+    """A bit vector with a rank directory: the set bits before each 64 of it."""
+
+    def __init__(self, bits: np.ndarray):
+        n = len(bits)
+        packed = np.zeros((n // 64 + 1) * 8, np.uint8)
+        some = np.packbits(bits, bitorder="little")
+        packed[: len(some)] = some
+        self.words = packed.view("<u8")
+        ones = np.bitwise_count(self.words).astype(np.int64)
+        self.before = np.cumsum(ones) - ones
+
+    def rank(self, place: np.ndarray) -> np.ndarray:
+        """Set bits before each place."""
+        word, bit = place >> 6, (place & 63).astype(np.uint64)
+        return self.before[word] + np.bitwise_count(self.words[word] & ((np.uint64(1) << bit) - np.uint64(1))).astype(np.int64)
+
+    def get(self, place: np.ndarray) -> np.ndarray:
+        return (self.words[place >> 6] >> (place & 63).astype(np.uint64)).astype(np.int64) & 1
 
 
 class WaveletMatrix:
-    """Ranks of symbols in a sequence: a bit vector with its counts for each bit of the alphabet."""
+    """Ranks of symbols in a sequence: a bit vector for each bit of the alphabet."""
 
     def __init__(self, symbols: np.ndarray, top: int):
         self.bits = max(1, int(top).bit_length())
-        self.counts, self.zeros, now = [], [], symbols
+        self.levels, self.zeros, now = [], [], symbols.astype(np.int32)
         for k in reversed(range(self.bits)):
-            bit = (now >> k) & 1
-            self.counts.append(np.concatenate([[0], np.cumsum(bit)]))
-            self.zeros.append(len(now) - int(bit.sum()))
-            now = np.concatenate([now[bit == 0], now[bit == 1]])
+            bit = (now >> k & 1).astype(bool)
+            self.levels.append(Bits(bit))
+            self.zeros.append(len(now) - int(np.count_nonzero(bit)))
+            now = np.concatenate([now[~bit], now[bit]])
 
     def rank(self, symbol: np.ndarray, *places: np.ndarray) -> list[np.ndarray]:
         """How often each symbol occurs before each place."""
         start, at = np.zeros(len(symbol), np.int64), list(places)
         for level, k in enumerate(reversed(range(self.bits))):
-            ones, counts, zeros = ((symbol >> k) & 1).astype(bool), self.counts[level], self.zeros[level]
-            step = lambda i: np.where(ones, zeros + counts[i], i - counts[i])  # noqa: E731, B023
+            ones, bits, zeros = ((symbol >> k) & 1).astype(bool), self.levels[level], self.zeros[level]
+
+            def step(i: np.ndarray) -> np.ndarray:
+                before = bits.rank(i)  # noqa: B023
+                return np.where(ones, zeros + before, i - before)  # noqa: B023
+
             start, at = step(start), [step(i) for i in at]
         return [i - start for i in at]
 
     def access(self, place: np.ndarray) -> np.ndarray:
         """The symbol at each place."""
         out = np.zeros(len(place), np.int64)
-        for level in range(self.bits):
-            counts = self.counts[level]
-            bit = counts[place + 1] - counts[place]
-            place = np.where(bit == 1, self.zeros[level] + counts[place], place - counts[place])
+        for bits, zeros in zip(self.levels, self.zeros, strict=True):
+            bit, before = bits.get(place), bits.rank(place)
+            place = np.where(bit == 1, zeros + before, place - before)
             out = out << 1 | bit
         return out
 
 
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Positions in the order of their suffixes. text: numbers from 1, in runs that each end with a 0; the ends sort first, by place.
+
+    The first sort is by as many symbols as fit into 63 bits. Then, with twice the depth each round, only groups of suffixes
+    that are still equal are sorted anew.
+    """
+    n, ends = len(text), text == 0
+    symbols = np.where(ends, np.cumsum(ends) - 1, int(ends.sum()) + text).astype(np.int64)
+    bits = max(1, int(symbols.max()).bit_length()) if n else 1
+    depth = 63 // bits
+    key = np.zeros(n, np.int64)
+    for k in range(depth):
+        key <<= bits
+        key[: max(0, n - k)] |= symbols[k:]
+    order = np.argsort(key)
+    rank, open_ = np.empty(n, np.int64), np.arange(n)
+    key = key[order]
+    while len(open_):
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(first, len(key)))
+        rank[order[open_]] = np.repeat(open_[first], size)
+        open_ = open_[np.repeat(size > 1, size)]
+        # Equal suffixes hold no end so far, so the text goes on after them.
+        key = rank[order[open_]] * (n + 1) + rank[order[open_] + depth]
+        again = np.argsort(key)
+        order[open_], key = order[open_][again], key[again]
+        depth *= 2
+    return order
+
+
 class FMIndex:
     """Index of a sequence of numbers from 1, in runs that each end with a 0."""
 
     def __init__(self, text: np.ndarray, step: int = STEP):
-        n = len(text)
-        ends = text == 0
-        # Every run's end sorts before all words and is unlike the others, so suffixes differ by the end of their run.
-        rank = np.where(ends, np.cumsum(ends) - 1, int(ends.sum()) + text).astype(np.int64)
-        rank = np.unique(rank, return_inverse=True)[1]
-        k = 1
-        order = np.argsort(rank, kind="stable")
-        while n and rank.max() < n - 1:
-            ahead = np.zeros(n, np.int64)
-            ahead[: n - k] = rank[k:] + 1
-            key = rank * (n + 1) + ahead
-            order = np.argsort(key, kind="stable")
-            new = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
-            rank = np.empty(n, np.int64)
-            rank[order] = new
-            k *= 2
-        before = text[order - 1] if n else text
-        self.top = int(text.max()) if n else 0
+        self.n, self.top = len(text), int(text.max()) if len(text) else 0
+        order = suffix_array(text)
+        before = text[order - 1] if self.n else text
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.top + 2))])
         self.ranks = WaveletMatrix(before, self.top)
         sampled = (order % step == 0) | (before == 0)
-        self.sampled = np.concatenate([[0], np.cumsum(sampled)])
+        self.sampled = Bits(sampled)
         self.positions = order[sampled]
-        self.n = n
 
-    def search(self, words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows [low, high) of the suffixes that start with each right-aligned phrase, found backwards."""
-        low, high = np.zeros(len(words), np.int64), np.full(len(words), self.n)
-        width = words.shape[1] if words.ndim == 2 else 0
-        for back in range(1, width + 1):
+    def search(self, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows [low, high) of the suffixes that start with each phrase (words[start : start + length], 0 for unknown ones), found backwards."""
+        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), self.n)
+        for back in range(1, int(lengths.max(initial=0)) + 1):
             live = np.flatnonzero((lengths >= back) & (low < high))
             if not len(live):
                 break
-            symbol = words[live, width - back]
-            known = symbol <= self.top
+            symbol = words[starts[live] + lengths[live] - back]
+            known = (symbol > 0) & (symbol <= self.top)
             low[live[~known]] = high[live[~known]] = 0
             live, symbol = live[known], symbol[known]
             a, b = self.ranks.rank(symbol, low[live], high[live])
@@ -155,65 +175,51 @@ class FMIndex:
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """The text position of each row's suffix."""
-        out, at, steps = np.empty(len(rows), np.int64), rows.copy(), np.zeros(len(rows), np.int64)
+        out, at, steps = np.empty(len(rows), np.int64), rows.copy(), 0
         open_ = np.arange(len(rows))
         while len(open_):
-            here = at[open_]
-            done = self.sampled[here + 1] > self.sampled[here]
-            got = open_[done]
-            out[got] = self.positions[self.sampled[at[got]]] + steps[got]
-            open_ = open_[~done]
-            symbol = self.ranks.access(at[open_])
-            at[open_] = self.before[symbol] + self.ranks.rank(symbol, at[open_])[0]
-            steps[open_] += 1
+            done = self.sampled.get(at) == 1
+            out[open_[done]] = self.positions[self.sampled.rank(at[done])] + steps
+            open_, at = open_[~done], at[~done]
+            symbol = self.ranks.access(at)
+            at = self.before[symbol] + self.ranks.rank(symbol, at)[0]
+            steps += 1
         return out
 
 
 def find(data: np.ndarray, offsets: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, list, list]:
     """Words of each text of a shard, its merged hit spans (in words), and the numbers of the items found."""
-    data = _LOWER[data]
-    starts, ends, at = word_spans(data, offsets, _WORD)
-    n_words, spans, items = np.diff(at), [[] for _ in range(len(offsets) - 1)], [set() for _ in range(len(offsets) - 1)]
-    if not len(phrases.lengths) or not len(starts):
+    hashes, at = words_of(data, offsets)
+    n_words, spans, items = np.diff(at), [[] for _ in range(len(offsets) - 1)], [[] for _ in range(len(offsets) - 1)]
+    if not len(phrases.starts) or not len(hashes):
         return n_words, spans, items
-    numbers = phrases.numbers(word_hashes(data, starts, ends))
-    known = np.concatenate([[0], numbers > 0, [0]]).astype(np.int8)
+    coded = pa.array(hashes).dictionary_encode()
+    text = np.zeros(len(hashes) + len(n_words), np.int64)  # word i of document d stands at i + d, and after it an end
     doc = np.repeat(np.arange(len(n_words)), n_words)
-    cut = np.flatnonzero(np.diff(doc)) + 1  # a run ends with its text
-    edges = np.diff(known)
-    first = np.union1d(np.flatnonzero(edges == 1), cut[numbers[cut] > 0]) if len(cut) else np.flatnonzero(edges == 1)
-    last = np.union1d(np.flatnonzero(edges == -1), cut[numbers[cut - 1] > 0]) if len(cut) else np.flatnonzero(edges == -1)
-    long_ = last - first >= phrases.shortest
-    first, last = first[long_], last[long_]
-    if not len(first):
-        return n_words, spans, items
-    size = last - first
-    run = np.repeat(np.arange(len(first)), size + 1)
-    inside = np.arange(len(run)) - np.repeat(np.cumsum(size + 1) - size - 1, size + 1)
-    place = first[run] + inside
-    text = np.where(inside < size[run], numbers[np.minimum(place, len(numbers) - 1)], 0)
+    text[np.arange(len(hashes)) + doc] = coded.indices.to_numpy() + 1
     index = FMIndex(text)
-    low, high = index.search(phrases.words, phrases.lengths)
+    known = pc.fill_null(pc.index_in(pa.array(phrases.vocabulary), value_set=coded.dictionary), -1).to_numpy() + 1
+    low, high = index.search(known[phrases.words].astype(np.int64), phrases.starts, phrases.lengths)
     many = high - low
     hit = np.flatnonzero(many > 0)
     if not len(hit):
         return n_words, spans, items
     which = np.repeat(hit, many[hit])
     rows = np.arange(len(which)) - np.repeat(np.cumsum(many[hit]) - many[hit], many[hit]) + low[which]
-    where = place[index.locate(rows)]
-    cover = np.zeros(len(numbers) + 1, np.int64)
+    where = index.locate(rows)
+    cover = np.zeros(len(text) + 1, np.int64)
     np.add.at(cover, where, 1)
     np.add.at(cover, where + phrases.lengths[which], -1)
-    covered = np.cumsum(cover[:-1]) > 0
-    change = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
-    for a, b in change.reshape(-1, 2):
-        while a < b:  # spans of neighbouring texts may touch
-            d = doc[a]
-            e = min(b, at[d + 1])
-            spans[d].append((int(a - at[d]), int(e - at[d])))
-            a = e
-    for d, p in set(zip(doc[where].tolist(), which.tolist(), strict=True)):
-        items[d].update(phrases.owners[p])
+    covered = np.cumsum(cover[:-1]) > 0  # never at a document's end
+    change = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8))).reshape(-1, 2)
+    begins = at[:-1] + np.arange(len(n_words))
+    inside = np.searchsorted(begins, change[:, 0], side="right") - 1
+    for d, (a, b) in zip(inside.tolist(), (change - begins[inside, None]).tolist(), strict=True):
+        spans[d].append((a, b))
+    pair = np.unique((np.searchsorted(begins, where, side="right") - 1) * (len(phrases.items) + 1) + phrases.owner[which] + 1)
+    for d, item in zip(*(x.tolist() for x in np.divmod(pair, len(phrases.items) + 1)), strict=True):
+        if item:  # 0: phrases of items without an id
+            items[d].append(item - 1)
     return n_words, spans, items
 
 
@@ -227,67 +233,71 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-FOUND = "n_words long, spans array<struct<start:long,stop:long>>, items array<string>"
+_FOUND = {"__n_words": "long", "__spans": "array<struct<start:long,stop:long>>", "__items": "array<string>"}
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-_FOUND = ["__n_words", "__spans", "__items"]
 
 
-def scan(docs: DataFrame, blocks: list[Phrases]) -> DataFrame:
-    """All columns of docs, and __n_words, __spans (merged, in words) and __items: one pass over the texts a block of phrases."""
-    prepare(docs.sparkSession)
-    names, kinds = docs.columns, [f.dataType.simpleString() for f in docs.schema]
-    schema = ", ".join(f"c{k} {t}" for k, t in enumerate([*kinds, *(x.split(" ", 1)[1] for x in FOUND.split(", "))]))
-    at = names.index("text")
-
-    def one(phrases: Phrases, again: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                data, offsets = text_bytes(batch.column(at))
-                n, spans, items = [], [], []
-                a = 0
-                while a < len(offsets) - 1:
-                    b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SHARD, side="right")) - 1)
-                    x, y, z = find(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], phrases)
-                    n += x.tolist()
-                    spans += y
-                    items += [{phrases.items[i] for i in s} for s in z]
-                    a = b
-                if again:
-                    old = batch.columns[-3:]
-                    spans = [merge([*s, *((v["start"], v["stop"]) for v in o)]) for s, o in zip(spans, old[1].to_pylist(), strict=True)]
-                    items = [s | set(o) for s, o in zip(items, old[2].to_pylist(), strict=True)]
-                new = [pa.array(n, pa.int64()), pa.array([[{"start": a, "stop": b} for a, b in s] for s in spans], _SPANS), pa.array([sorted(s) for s in items], pa.list_(pa.string()))]
-                columns = [*batch.columns[: len(names)], *new]
-                yield pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(len(columns))])
-
-        return run
-
-    out = docs.toDF(*(f"c{k}" for k in range(len(names))))
-    out = reduce(lambda df, x: df.mapInArrow(one(x[1], x[0] > 0), schema), enumerate(blocks), out)
-    return out.toDF(*names, *_FOUND)
-
-
-def phrase_blocks(bench: DataFrame, block_words: int = BLOCK_WORDS) -> list[Phrases]:
-    """The test set as blocks of phrases, each from items of at most about block_words words (sizes are counted first)."""
+def scan(docs: DataFrame, at: int, phrases: Phrases, again: bool) -> DataFrame:
+    """Columns c0, c1, ...: those of docs (the text is column at) and the three of _FOUND; again: docs has these three of other phrases already."""
+    kinds = [f.dataType.simpleString() for f in docs.schema][: -3 if again else None]
+    schema = ", ".join(f"c{k} {t}" for k, t in enumerate([*kinds, *_FOUND.values()]))
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, SHARD, at):
+            data, offsets = text_bytes(batch.column(at))
+            n, spans, items = [], [], []
+            a = 0
+            while a < len(offsets) - 1:
+                b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SHARD, side="right")) - 1)
+                x, y, z = find(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], phrases)
+                n += x.tolist()
+                spans += y
+                items += [{phrases.items[i] for i in s} for s in z]
+                a = b
+            if again:
+                old = batch.columns[-3:]
+                spans = [merge([*s, *((v["start"], v["stop"]) for v in o)]) for s, o in zip(spans, old[1].to_pylist(), strict=True)]
+                items = [s | set(o) for s, o in zip(items, old[2].to_pylist(), strict=True)]
+            new = [pa.array(n, pa.int64()), pa.array([[{"start": a, "stop": b} for a, b in s] for s in spans], _SPANS), pa.array([sorted(s) for s in items], pa.list_(pa.string()))]
+            columns = [*batch.columns[: len(kinds)], *new]
+            yield pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(len(columns))])
+
+    return docs.mapInArrow(run, schema)
+
+
+def phrase_blocks(bench: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Phrases]:
+    """The test set as blocks of phrases, each from items of at most about block_words words (sizes are counted first); one at a time comes to the driver."""
     texts = bench.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL")
     size = texts.agg(F.sum(F.length("text"))).head()[0] or 0
-    n = -(-size // (5 * block_words))  # about five characters a word
-    part = F.pmod(F.xxhash64(F.coalesce("item_id", "text")), F.lit(max(1, n)))
-    return [Phrases([tuple(r) for r in texts.where(part == k).collect()]) for k in range(n)] or [Phrases([])]
+    n = max(1, -(-size // (5 * block_words)))  # about five characters a word
+    part = F.pmod(F.xxhash64(F.coalesce("item_id", "text")), F.lit(n))
+    for k in range(n):
+        yield Phrases([tuple(r) for r in texts.where(part == k).collect()])
 
 
-N_HIT = "aggregate(__spans, 0L, (n, s) -> n + s.stop - s.start)"
+def judged(docs: DataFrame, bench: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Columns c0, c1, ... of docs, then words, spans, items, hit words, and whether the document is contaminated, as c-columns too."""
+    prepare(docs.sparkSession)
+    n, at = len(docs.columns), docs.columns.index("text")
+    out, last = docs.toDF(*(f"c{k}" for k in range(n))), None
+    for phrases in phrase_blocks(bench, block_words):
+        if last is not None:  # the driver lets go of the block before
+            out = materialize(out, "block")
+        out, last = scan(out, at, phrases, last is not None), phrases
+    out = out.withColumn(f"c{n + 3}", F.expr(f"aggregate(c{n + 1}, 0L, (n, s) -> n + s.stop - s.start)"))
+    return out.withColumn(f"c{n + 4}", F.expr(f"c{n + 3} > 0 AND 20 * c{n + 3} >= c{n}"))
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """All columns of docs with __n_words, __n_hit, __spans, __items and __contaminated."""
-    found = scan(docs, phrase_blocks(bench, block_words)).withColumn("__n_hit", F.expr(N_HIT))
-    return found.withColumn("__contaminated", F.expr("__n_hit > 0 AND 20 * __n_hit >= __n_words"))
+    """All columns of docs with __n_words, __spans (merged, in words), __items, __n_hit and __contaminated; with _ after a name that docs has itself."""
+    return judged(docs, bench, block_words).toDF(*docs.columns, *free(docs.columns, *_FOUND, "__n_hit", "__contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    return contaminated(docs, bench).where("NOT __contaminated").select(*docs.columns)
+    n = len(docs.columns)
+    return judged(docs, bench).where(f"NOT c{n + 4}").select(*(f"c{k}" for k in range(n))).toDF(*docs.columns)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
