@@ -10,7 +10,7 @@ counts.  Fitting is full-batch Adam in numpy, so equal samples give equal models
 
 Edge cases: a doc with several labels takes the lowest grade; a label without quality and toxicity is ignored; without labels
 nothing is rejected (null grade).  Null and empty texts have no features and get the bias alone, and are rejected.  Repeated rows
-each get a score; extra columns are kept aside; an empty table gives no rows.
+each get a score; extra columns stay, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare, table, text_bytes, word_hashes, word_spans
+from .common import materialize, prepare, table, text_bytes, tidied, word_hashes, word_spans
 
 GRADES, GOOD = 3, 2
 BUCKETS = 1 << 18
@@ -80,45 +80,71 @@ class Model:
         return out
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, weight: np.ndarray) -> Model:
-    """bags: distinct buckets and shares of each text. Weighted likelihood of the cumulative-link model, by Adam."""
-    sizes = np.array([len(x[0]) for x in bags])
-    idx = np.concatenate([x[0] for x in bags]) if bags else np.zeros(0, np.int32)
-    val = np.concatenate([x[1] for x in bags]).astype(np.float32) * np.float32(SCALE) if bags else np.zeros(0, np.float32)
-    place = np.zeros(BUCKETS, np.int32)
-    used = np.flatnonzero(np.bincount(idx, minlength=BUCKETS))
-    place[used] = np.arange(len(used))
-    idx = place[idx]
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    # Blocks of texts keep what is computed for each feature small.
-    cut = np.unique(np.searchsorted(at, np.arange(0, at[-1] + PASS, PASS)).clip(0, len(bags)))
-    blocks = [(a, b, idx[at[a] : at[b]], val[at[a] : at[b]], np.repeat(np.arange(b - a), sizes[a:b]).astype(np.int32)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    weight = weight / weight.sum()
-    # Parameters: weights, first threshold, log gaps. The score has no bias of its own: thresholds hold it.
-    p = np.zeros(len(used) + GRADES - 1)
-    m, v2 = np.zeros_like(p), np.zeros_like(p)
-    m_w = len(used)
-    for step in range(1, STEPS + 1):
-        s = np.concatenate([np.bincount(row, v * p[i], minlength=b - a) for a, b, i, v, row in blocks])
-        gaps = np.exp(p[m_w + 1 :])
-        cuts = p[m_w] + np.concatenate([[0], np.cumsum(gaps)])
+@dataclass
+class Problem:
+    """The weighted likelihood of the cumulative-link model on bags (distinct buckets and shares) of texts.
+
+    Parameters are the weights of the buckets in use, the first threshold and the logarithms of the gaps to the next ones.
+    The score has no bias of its own: thresholds hold it.
+    """
+
+    bags: list[tuple[np.ndarray, np.ndarray]]
+    grades: np.ndarray
+    weight: np.ndarray
+
+    def __post_init__(self):
+        sizes = np.array([len(x[0]) for x in self.bags], np.int64)
+        idx = np.concatenate([np.zeros(0, np.int32), *(x[0] for x in self.bags)])
+        val = np.concatenate([np.zeros(0, np.float32), *(x[1] for x in self.bags)]).astype(np.float32) * np.float32(SCALE)
+        self.used = np.flatnonzero(np.bincount(idx, minlength=BUCKETS))
+        place = np.zeros(BUCKETS, np.int32)
+        place[self.used] = np.arange(len(self.used))
+        idx = place[idx]
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        # Blocks of texts keep what is computed for each feature small.
+        cut = np.unique(np.searchsorted(at, np.arange(0, at[-1] + PASS, PASS)).clip(0, len(self.bags)))
+        self.blocks = [(a, b, idx[at[a] : at[b]], val[at[a] : at[b]], np.repeat(np.arange(b - a), sizes[a:b]).astype(np.int32)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        self.weight = self.weight / self.weight.sum()
+
+    def cuts(self, p: np.ndarray) -> np.ndarray:
+        m = len(self.used)
+        return p[m] + np.concatenate([[0], np.cumsum(np.exp(p[m + 1 :]))])
+
+    def loss(self, p: np.ndarray) -> tuple[float, np.ndarray]:
+        """The negative log-likelihood with ridge, and its gradient."""
+        m, grades, weight = len(self.used), self.grades, self.weight
+        s = np.concatenate([np.bincount(row, v * p[i], minlength=b - a) for a, b, i, v, row in self.blocks] or [np.zeros(0)])
+        s = np.concatenate([s, np.zeros(len(grades) - len(s))])  # texts at the end without a feature
+        gaps, cuts = np.exp(p[m + 1 :]), self.cuts(p)
         upper = 1 / (1 + np.exp(-np.clip(np.append(cuts, np.inf)[grades] - s, -40, 40)))
         lower = 1 / (1 + np.exp(-np.clip(np.insert(cuts, 0, -np.inf)[grades] - s, -40, 40)))
         like = np.maximum(upper - lower, 1e-9)
         du, dl = upper * (1 - upper), lower * (1 - lower)
         du[grades == GRADES - 1] = 0
         dl[grades == 0] = 0
-        g_s = weight * (du - dl) / like  # gradient of the negative log-likelihood
+        g_s = weight * (du - dl) / like
         g_cut = np.zeros(GRADES)
         np.add.at(g_cut, grades, -weight * du / like)
         np.add.at(g_cut, grades - 1, weight * dl / like)
         g_cut = g_cut[: GRADES - 1]
-        g = np.concatenate([sum(np.bincount(i, v * g_s[a:b][row], minlength=m_w) for a, b, i, v, row in blocks) + RIDGE * p[:m_w], [g_cut.sum()], [gaps[k] * g_cut[k + 1 :].sum() for k in range(GRADES - 2)]])
-        m, v2 = 0.9 * m + 0.1 * g, 0.999 * v2 + 0.001 * g * g
-        p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v2 / (1 - 0.999**step)) + 1e-9)
+        g_w = RIDGE * p[:m] + sum(np.bincount(i, v * g_s[a:b][row], minlength=m) for a, b, i, v, row in self.blocks)
+        g = np.concatenate([g_w, [g_cut.sum()], [gaps[k] * g_cut[k + 1 :].sum() for k in range(GRADES - 2)]])
+        return float(-(weight * np.log(like)).sum() + RIDGE / 2 * (p[:m] ** 2).sum()), g
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, weight: np.ndarray) -> Model:
+    """Fit by full-batch Adam; the gradient is taken in blocks of about PASS features."""
+    problem = Problem(bags, grades, weight)
+    m_w = len(problem.used)
+    p = np.zeros(m_w + GRADES - 1)
+    m, v = np.zeros_like(p), np.zeros_like(p)
+    for step in range(1, STEPS + 1):
+        _, g = problem.loss(p)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     weights = np.zeros(BUCKETS)
-    weights[used] = p[:m_w]
-    return Model(weights.astype(np.float32), 0.0, p[m_w] + np.concatenate([[0], np.cumsum(np.exp(p[m_w + 1 :]))]))
+    weights[problem.used] = p[:m_w]
+    return Model(weights.astype(np.float32), 0.0, problem.cuts(p))
 
 
 def grade(labels: DataFrame) -> DataFrame:
@@ -136,6 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     share = F.create_map(*(F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, SAMPLE / n))))
     sample = graded.where(F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1_000_000)) < share[F.col("grade")] * 1_000_000)
 
+    @tidied
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
@@ -160,15 +187,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     return train(bags_, grades, weight)
 
 
-SCORED = "expected_grade double, p_not_toxic double, p_good double, keep boolean"
+SCORED = {"expected_grade": "double", "p_not_toxic": "double", "p_good": "double", "keep": "boolean"}
 
 
-def score(docs: DataFrame, model: Model | None, keep_columns: bool = False) -> DataFrame:
-    """doc_id and SCORED for every row; with keep_columns, prefixed by __, after all columns of docs."""
+def scored(docs: DataFrame, model: Model | None) -> DataFrame:
+    """Columns c0, c1, ... of docs, then those of SCORED, as c-columns too."""
     prepare(docs.sparkSession)
-    kept = docs if keep_columns else docs.select("doc_id", "text")
-    at = kept.columns.index("text")
+    at, n_old = docs.columns.index("text"), len(docs.columns)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
@@ -178,20 +205,22 @@ def score(docs: DataFrame, model: Model | None, keep_columns: bool = False) -> D
                 data, offsets = text_bytes(batch.column(at))
                 tails = model.tails(model.scores(data, offsets))
                 new = [pa.array(tails.sum(axis=1)), pa.array(tails[:, 0]), pa.array(tails[:, GOOD - 1]), pa.array((tails[:, GOOD - 1] >= CUT) & (np.diff(offsets) > 0))]
-            old = [batch.column(k) for k in range(batch.num_columns)] if keep_columns else [batch.column(0).cast(pa.int64())]
-            yield pa.RecordBatch.from_arrays(old + new, names=[f"c{k}" for k in range(len(old) + 4)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[f"c{k}" for k in range(n_old + 4)])
+
+    kinds = [*(f.dataType.simpleString() for f in docs.schema), *SCORED.values()]
+    return docs.toDF(*(f"c{k}" for k in range(n_old))).mapInArrow(run, ", ".join(f"c{k} {t}" for k, t in enumerate(kinds)))
+
 
-    names = [*(f"c{k}" for k in range(len(kept.columns) if keep_columns else 1))]
-    kinds = [f.dataType.simpleString() for f in kept.schema] if keep_columns else ["bigint"]
-    new = [x.split() for x in SCORED.split(", ")]
-    schema = ", ".join(f"{a} {b}" for a, b in zip([*names, *(f"c{len(names) + i}" for i in range(4))], [*kinds, *(b for _, b in new)], strict=True))
-    out = kept.mapInArrow(run, schema)
-    return out.toDF(*(kept.columns if keep_columns else ["doc_id"]), *("__" * keep_columns + a for a, _ in new))
+def score(docs: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id and the columns of SCORED for every row."""
+    found = scored(docs.select(F.col("doc_id").cast("long"), "text"), model)
+    return found.select("c0", *(f"c{k + 2}" for k in range(len(SCORED)))).toDF("doc_id", *SCORED)
 
 
 def select_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier keeps, with their own columns."""
-    return score(docs, fit(docs, labels), keep_columns=True).where("__keep").select(*docs.columns)
+    n = len(docs.columns)
+    return scored(docs, fit(docs, labels)).where(f"c{n + 3}").select(*(f"c{k}" for k in range(n))).toDF(*docs.columns)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
