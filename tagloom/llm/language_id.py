@@ -21,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, prepare, table, text_bytes
+from .common import mix, prepare, table, text_bytes, tidied
 
 ORDERS, BUCKETS, DIM = (2, 3, 4), 1 << 16, 16
-#: Bounds of the training sample: texts a language, and their bytes that training sees (prediction sees all).
-SAMPLE, EPOCHS, BATCH, RATE = 1200, 6, 32, 2.0
+#: Bounds of the training sample: texts a language, and in all. A bag has at most BUCKETS entries, whatever its text's length.
+SAMPLE, TOTAL = 1200, 24_000
+EPOCHS, BATCH, RATE = 6, 32, 2.0
 TARGET = 0.995
 SLICE = 1 << 20
 
@@ -49,11 +50,16 @@ def buckets(data: np.ndarray, order: int) -> np.ndarray:
     return ((packed ^ (packed >> np.uint32(15))) & np.uint32(BUCKETS - 1)).astype(np.int32)
 
 
-def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a text and their shares."""
-    data = _LOWER[np.frombuffer(text.encode(), np.uint8)]
-    found, counts = np.unique(np.concatenate([buckets(data, k) for k in ORDERS]), return_counts=True)
-    return found, (counts / max(1, counts.sum())).astype(np.float32)
+def bag(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a text's bytes and their shares; a slice of the text at a time."""
+    counts = np.zeros(BUCKETS, np.int64)
+    reach = max(ORDERS) - 1
+    for a in range(0, len(data), SLICE):
+        low = _LOWER[data[a : a + SLICE + reach]]
+        for k in ORDERS:
+            counts += np.bincount(buckets(low, k)[:SLICE], minlength=BUCKETS)
+    found = np.flatnonzero(counts)
+    return found, (counts[found] / max(1, counts.sum())).astype(np.float32)
 
 
 @dataclass
@@ -97,13 +103,13 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], seed: int = 0) -> Model | None:
-    """Fit embeddings and softmax by SGD on four fifths of the texts, temperature and rejection on the rest."""
+def train(bags: list[tuple[np.ndarray, np.ndarray]], langs: list[str], seed: int = 0) -> Model | None:
+    """Fit embeddings and softmax by SGD on four fifths of the bags, temperature and rejection on the rest."""
     names = sorted(set(langs))
     if not names:
         return None
     rng = np.random.default_rng(seed)
-    bags, y = [bag(t) for t in texts], np.array([names.index(x) for x in langs])
+    y = np.array([names.index(x) for x in langs])
     order = rng.permutation(len(bags))
     held, learn = order[: len(order) // 5], order[len(order) // 5 :]
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
@@ -142,21 +148,33 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame) -> Model | None:
-    """Train on a sample, by hash of doc_id, of at most about SAMPLE texts a language."""
+    """Train on a sample, by hash of doc_id, of at most about SAMPLE texts a language and TOTAL in all."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row a language
     if not counts:
         return None
-    share = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, SAMPLE / n))))
+    most = min(SAMPLE, max(1, TOTAL // len(counts)))
+    share = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, most / n))))
     picked = known.where(F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
-    rows = sorted(tuple(r) for r in picked.select("text", "lang").collect())
-    return train([r[0] for r in rows], [r[1] for r in rows])
+
+    @tidied
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(1))
+            found = [bag(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            columns = [batch.column(0), pa.array([x.astype("<u2").tobytes() for x, _ in found], pa.binary()), pa.array([y.astype("<f4").tobytes() for _, y in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "idx", "share"])
+
+    prepare(docs.sparkSession)
+    rows = picked.select("lang", "text").mapInArrow(bags, "lang string, idx binary, share binary").toPandas().sort_values(["idx", "share", "lang"], kind="stable")
+    return train([(np.frombuffer(i, "<u2").astype(np.int64), np.frombuffer(x, "<f4")) for i, x in zip(rows["idx"], rows["share"], strict=True)], list(rows["lang"]))
 
 
 PREDICTION = "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean"
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from tagloom.llm import language_id as g
 from tagloom.llm.common import table, text_bytes
@@ -19,11 +20,9 @@ def test_sums_are_those_of_whole_texts():
     texts = ["Hello there", "", "a", "ab", "été là-bas " * 9, "x" * 300]
     rng = np.random.default_rng(0)
     model = g.Model(["a", "b"], np.concatenate([rng.normal(size=(2, g.BUCKETS)), np.zeros((2, 1))], axis=1).astype(np.float32), np.zeros(2))
-    import pyarrow as pa
-
     want = []
     for t in texts:
-        found, share = g.bag(t)
+        found, share = g.bag(np.frombuffer(t.encode(), np.uint8))
         want.append(share @ model.logits[:, found].T if len(found) else np.zeros(2))
     for size in (7, 64, 1 << 20):
         g.SLICE = size
@@ -41,3 +40,21 @@ def test_edges(spark):
     assert g.fit(df.where("lang IS NULL")) is None
     assert {r.lang_pred for r in g.predict(df, None).collect()} == {"und"}
     assert g.predict(df.limit(0), None).count() == 0
+
+
+def test_query_against_brute_force(spark):
+    """Every n-gram of every text, one by one."""
+    rng = np.random.default_rng(3)
+    model = g.Model(["de", "en", "fr"], np.concatenate([rng.normal(size=(3, g.BUCKETS)), np.zeros((3, 1))], axis=1).astype(np.float32), rng.normal(size=3), 0.7, 0.5)
+    texts = [None, "", "a", "Où est-il?", "THE END", "123", "x", "the end " * 300, "ß"]
+    df = spark.createDataFrame([(k, texts[k % len(texts)], "en", "s") for k in range(2 * len(texts))], "doc_id long, text string, lang string, lang_pred string")
+    for r in g.predict(df, model).collect():
+        raw = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in texts[r.doc_id % len(texts)] or "").encode()
+        grams = [raw[i : i + k] for k in g.ORDERS for i in range(len(raw) - k + 1)]
+        z = model.bias + sum((model.logits[:, g.buckets(np.frombuffer(x, np.uint8), len(x))[0]] for x in grams), np.zeros(3)) / max(1, len(grams))
+        p = np.exp(z / 0.7 - (z / 0.7).max())
+        p /= p.sum()
+        letters = any(c.isalpha() for c in texts[r.doc_id % len(texts)] or "")
+        assert r.lang_pred == (model.langs[int(p.argmax())] if letters else "und")
+        assert abs(r.score - (p.max() if letters else 0)) < 1e-5 and r.accepted == (letters and r.score >= 0.5)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
