@@ -2,10 +2,10 @@
 
 Storing: UTF-8 bytes, padded with spaces to a positive multiple of 192, become the unsigned samples of a WAV file at RATE.
 Features of a clip: polyphase resampling by UP/DOWN, log-mel energies of overlapped Hann frames, and segments of high energy found
-with two thresholds (hysteresis).  The frames are cut into windows of a fixed shape (WINDOW, MELS), kept as little-endian
-float16 bytes; ``as_tensors`` turns a collected table into an Arrow fixed-shape tensor column.  Every window and every segment has a
-time span in milliseconds.  A clip is worked on alone and in blocks of BLOCK samples, so equal clips give equal values and memory
-stays bounded for any length.
+with two thresholds (hysteresis).  The frames are cut into windows of a fixed shape (WINDOW, MELS).  The windows of a batch of clips are
+stored as an Arrow stream with a fixed-shape tensor column of float16 and the time span of each window, in milliseconds; segments
+have time spans, too.  ``read_features`` reads these tensors back, one row a clip.  A clip is worked on alone and in blocks of BLOCK
+samples, so equal clips give equal values and memory stays bounded for any length.
 
 Edge cases: null and empty texts are 192 spaces; repeated rows stay; extra columns are ignored; an empty table gives no rows.
 """
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_column, materialize, prepare, table, text_bytes
+from .common import binary_column, materialize, prepare, table, text_bytes, tidied
 
 UNIT, HEADER = 192, 44
 RATE, UP, DOWN, TAPS = 12_000, 2, 3, 8
@@ -39,6 +39,7 @@ def wav_header(n: int) -> bytes:
 def store(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: a WAV file for each text."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
@@ -127,46 +128,77 @@ def segments(mel: np.ndarray) -> list[tuple[int, int]]:
 
 #: Milliseconds of a hop.
 HOP_MS = HOP * 1000 * DOWN / (RATE * UP)
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_windows int, log_mel binary, window_spans array<struct<start_ms:double,stop_ms:double>>, segment_spans array<struct<start_ms:double,stop_ms:double>>"
-_SPANS = pa.list_(pa.struct([("start_ms", pa.float64()), ("stop_ms", pa.float64())]))
+_SPAN = pa.struct([("start_ms", pa.float64()), ("stop_ms", pa.float64())])
+_CLIP = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("segment_spans", pa.list_(_SPAN))])
+CLIP = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, segment_spans array<struct<start_ms:double,stop_ms:double>>"
+STORED = f"clips array<struct<{CLIP.replace(' ', ':').replace(',:', ',')}>>, windows binary"
+#: The columns of a stream of windows: the clip's place among the row's clips, its span and its tensor.
+WINDOWS = pa.schema([("clip", pa.int32()), ("start_ms", pa.float64()), ("stop_ms", pa.float64()), ("log_mel", pa.fixed_shape_tensor(pa.float16(), (WINDOW, MELS)))])
+
+
+def pack(mels: list[np.ndarray]) -> bytes:
+    """The windows of some clips as an Arrow stream; a clip's last window is filled with silence."""
+    many = np.array([-(-len(m) // WINDOW) for m in mels], np.int64)
+    flat = np.full((int(many.sum()) * WINDOW, MELS), np.log(FLOOR), np.float16)
+    at = np.cumsum(many) - many
+    for m, k in zip(mels, at.tolist(), strict=True):
+        flat[k * WINDOW : k * WINDOW + len(m)] = m
+    place = np.arange(len(flat) // WINDOW) - np.repeat(at, many)
+    frames = np.repeat([len(m) for m in mels], many)
+    tensors = pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel(), pa.float16()), WINDOW * MELS)
+    columns = [pa.array(np.repeat(np.arange(len(mels), dtype=np.int32), many)), pa.array(place * WINDOW * HOP_MS), pa.array(np.minimum(frames, (place + 1) * WINDOW) * HOP_MS), pa.ExtensionArray.from_storage(WINDOWS.field("log_mel").type, tensors)]
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, WINDOWS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(pa.RecordBatch.from_arrays(columns, schema=WINDOWS))
+    return sink.getvalue().to_pybytes()
+
+
+def unpack(windows: bytes) -> pa.Table:
+    """The windows of a stored row: WINDOWS, with the tensors as an Arrow extension column."""
+    return pa.ipc.open_stream(windows).read_all()
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Checksums and audio features of stored clips (doc_id, n_bytes, media)."""
-
-    def span(a: int, b: int) -> dict:
-        return {"start_ms": a * HOP_MS, "stop_ms": b * HOP_MS}
+    """STORED: checksums and segments of stored clips (doc_id, n_bytes, media), and the tensors of their windows; one row a batch."""
+    kind = pa.schema([("clips", pa.list_(pa.struct(list(_CLIP)))), ("windows", pa.binary())])
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, mels = [], []
             for doc_id, n_bytes, wav in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                clip = samples(wav)
-                mel = log_mel(clip)
-                k = -(-len(mel) // WINDOW)
-                tensor = np.full((k * WINDOW, MELS), np.log(FLOOR), "<f2")
-                tensor[: len(mel)] = mel
-                payload = wav[HEADER:]
-                rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(wav), hashlib.sha256(wav).hexdigest(), k, tensor.tobytes(), [span(i * WINDOW, min(len(mel), (i + 1) * WINDOW)) for i in range(k)], [span(*s) for s in segments(mel)]))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary(), _SPANS, _SPANS]
-            columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
-            names = [x.split()[0] for x in FEATURES.replace(",start", ";start").replace(",stop", ";stop").split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+                mel, payload = log_mel(samples(wav)), wav[HEADER:]
+                mels.append(mel)
+                spans = [{"start_ms": a * HOP_MS, "stop_ms": b * HOP_MS} for a, b in segments(mel)]
+                rows.append(dict(zip(_CLIP.names, (doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(wav), hashlib.sha256(wav).hexdigest(), spans), strict=True)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([rows], kind.field(0).type), pa.array([pack(mels)])], schema=kind)
 
     prepare(media.sparkSession)
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, FEATURES)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, STORED)
+
+
+def read_features(stored: DataFrame) -> DataFrame:
+    """One row a clip, from the stored tensors: CLIP, n_windows, log_mel (the bytes of its tensors) and window_spans."""
+    kind = pa.schema([*_CLIP, ("n_windows", pa.int32()), ("log_mel", pa.binary()), ("window_spans", pa.list_(_SPAN))])
 
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for clips, windows in zip(batch.column(0), batch.column(1), strict=True):
+                clips, t = clips.values, unpack(windows.as_py()).combine_chunks()
+                n = np.bincount(t["clip"].to_numpy(), minlength=len(clips))
+                at = np.concatenate([[0], np.cumsum(n)])
+                data = t["log_mel"].combine_chunks().storage.flatten().to_numpy(zero_copy_only=False).astype("<f2").view(np.uint8) if len(t) else np.zeros(0, np.uint8)
+                spans = pa.StructArray.from_arrays([t["start_ms"].combine_chunks(), t["stop_ms"].combine_chunks()], fields=list(_SPAN))
+                more = [pa.array(n, pa.int32()), binary_column(data, at * WINDOW * MELS * 2), pa.ListArray.from_arrays(pa.array(at, pa.int32()), spans)]
+                yield pa.RecordBatch.from_arrays([*clips.flatten(), *more], schema=kind)
 
-def as_tensors(log_mel_bytes: pa.Array, n_windows: pa.Array) -> pa.Array:
-    """All windows of collected rows as one Arrow fixed-shape tensor column of (WINDOW, MELS) float16."""
-    data, _ = text_bytes(log_mel_bytes)
-    n = int(np.sum(n_windows.to_numpy()))
-    kind = pa.fixed_shape_tensor(pa.float16(), (WINDOW, MELS))
-    flat = pa.array(data.view("<f2"), pa.float16())
-    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat, WINDOW * MELS)[:n])
+    return stored.select("clips", "windows").mapInArrow(run, f"{CLIP}, n_windows int, log_mel binary, window_spans array<struct<start_ms:double,stop_ms:double>>")
 
 
 def op4_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = features(materialize(store(table(spark, sf_dir, "documents")), "media"))
+    media = materialize(store(table(spark, sf_dir, "documents")), "media")
+    rows = read_features(materialize(features(media), "features", "none"))
     feature = F.concat_ws(":", "n_windows", F.size("segment_spans"), F.sha2("log_mel", 256), F.sha2(F.to_json("segment_spans"), 256))
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
