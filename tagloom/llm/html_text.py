@@ -8,7 +8,8 @@ have them. The gaps between its tags are slots, and so are the records that nest
 that stands on all of its three or more unlike pages is boilerplate, in the article or not. Words and inline tags (b, a, span)
 cut no slot, as they stand within sentences, so they are not counted. Of the other slots, tags, roles and class names choose:
 those in menus, headers, footers, sidebars, notices, adverts, forms and reader comments are left out, and if a page marks an
-article, only the slots in it count.
+article, only the slots in it count. Inside an article a class name must say nothing else to leave its element out, and nothing is
+left out for being hidden.
 
 Text: character references are decoded; block tags end a block, line breaks are white space; white space in a block becomes one
 space; blocks are joined by an empty line.  Comments, scripts and styles are markup.
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, prepare, table
+from .common import discard, materialize, prepare, table, tidied
 
 #: The share of a host's pages on which a class must occur.
 SUPPORT = 0.6
@@ -50,10 +51,12 @@ _OUT_TAGS = {"nav", "footer", "aside", "form", "button", "select", "head", "menu
 _OUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "form"}
 #: Words of class names and ids that mark what is not the article.
 _OUT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar side aside rail menu menus nav navbar navigation breadcrumb breadcrumbs topbar toolbar header masthead footer copyright comment comments reply replies respond discussion share sharing social related recommended newsletter subscribe subscription signup login search widget pagination pager form".split())
+#: Words that may stand beside those in the name of a class. Inside an article, a name counts only if it holds nothing else:
+#: "social-share-box" is no article, "share-of-market" may be part of one.
+_NEUTRAL_WORDS = frozenset("area bar block body bottom box center col column container content div fixed group inner inline item items js left line link links list main mobile module outer page panel right row section site slot small sticky text title top unit widget wrap wrapper zone".split())
 #: Tags that cut a page into runs of text.  Inline tags stand within a sentence, and what follows one is no slot.
 _CUT = _BLOCK | {"td", "th"}
 _PRIME = 2**61 - 31
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 @dataclass
@@ -65,6 +68,13 @@ class Event:
     token: str = ""  # how a tag counts for the template
     out: bool = False  # what it holds is not of the article
     main: bool = False
+    hint: bool = False  # it is not of the article, unless it stands inside one
+
+
+def _marks_out(name: str) -> bool:
+    """Whether the name of a class or an id holds words for what is not the article, and none but neutral ones beside them."""
+    words = set(re.split(r"[^a-z0-9]+", name)) - {""}
+    return bool(words & _OUT_WORDS) and words <= _OUT_WORDS | _NEUTRAL_WORDS
 
 
 def events(html: str) -> list[Event]:
@@ -87,9 +97,9 @@ def events(html: str) -> list[Event]:
         role = attributes.get("role", "").lower()
         page = name in ("html", "body")
         main = not page and (name in ("article", "main") or role in ("main", "article") or attributes.get("itemprop") == "articleBody")
-        out = name in _OUT_TAGS or role in _OUT_ROLES or not page and bool(words & _OUT_WORDS) and not (main and not words & {"comment", "comments", "reply"})
-        out = out or "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(_HIDDEN.search(attributes.get("style", "")))
-        found.append(Event(1, name, f"<{name} {' '.join(sorted(words))}>", out, main and not out))
+        hint = not page and bool(words & _OUT_WORDS) and not (main and not words & {"comment", "comments", "reply"})
+        out = name in _OUT_TAGS or role in _OUT_ROLES or hint and (main or any(_marks_out(x) for x in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()))
+        found.append(Event(1, name, f"<{name} {' '.join(sorted(words))}>", out, main and not out, hint))
         if name in _RAW:
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
             at = end.end() if end else len(html)
@@ -290,7 +300,7 @@ def pieces(page: list[Event]) -> list[Piece]:
                     if stack[k].name in _BLOCK:
                         break
             inside = any(x.main for x in stack)
-            if e.name == "header" and not inside:
+            if not inside and (e.hint or e.name == "header"):
                 e = Event(1, e.name, e.token, True)
             stack.append(e)
         elif e.kind == -1:
@@ -352,6 +362,7 @@ def merged(partial: DataFrame, one: Callable[[list[dict], dict | None], object],
     """One state a host from those of the tasks: as many as tasks hold pages of it, each of a size that its pages don't change."""
     kind = pa.schema([("host", pa.string()), ("state", pa.string())])
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -368,6 +379,7 @@ def partials(rows: DataFrame, start: Callable[[], dict], add: Callable[[dict, di
     """host, known (its state so far), part: what a task's pages add."""
     kind = pa.schema([("host", pa.string()), ("known", pa.string()), ("part", pa.string())])
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, known, seen = {}, {}, set()
 
@@ -397,11 +409,13 @@ def templates(pages: DataFrame) -> DataFrame:
     """
     runs_kind = pa.schema([("host", pa.string()), ("page", pa.int64()), ("tokens", pa.list_(pa.string())), ("texts", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
 
+    @tidied
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = ((host, page, *runs_of(events(html))) for host, page, html in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
             yield batch_of([r for r in rows if r[2]], runs_kind)
 
+    @tidied
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, n = defaultdict(dict), 0
 
@@ -432,6 +446,7 @@ def templates(pages: DataFrame) -> DataFrame:
     found = frequent.groupBy("host").agg(F.first("pages").alias("pages"), F.collect_list(F.struct("token", *"abcd")).alias("tokens"))
     kind = pa.schema([("host", pa.string()), ("state", pa.string())])
 
+    @tidied
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -469,6 +484,7 @@ TEXTS = "page_id long, url string, text string, n_chars long"
 def main_texts(pages: DataFrame) -> DataFrame:
     kind = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, known = [], {None: [[{}, {}], {}]}

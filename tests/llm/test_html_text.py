@@ -90,9 +90,24 @@ def test_every_page_of_a_host_has_one_template(spark):
     text = lambda k: f"Words of page {k} and{' more' * (k % 7)}"
     html = lambda k: f'<html><body><div class="c1"><p>{text(k)}</p></div><div class="c2"><p>All about this site</p></div></body></html>'
     rows = [(k, f"http://h/{k}", html(k)) for k in range(49)] + [(100, "http://h/x", None), (101, "http://h/y", "<p>Not found"), (200, "http://other/", html(0)), (300, None, html(1))]
-    for parts in (1, 7):
+    for parts in (1, 7, 211):
         df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
         got = {r.page_id: r.text for r in h.main_texts(df).collect()}
         assert len(got) == len(rows) and [got[k] for k in range(49)] == [text(k) for k in range(49)]
         assert (got[100], got[101], got[200]) == ("", "Not found", text(0) + "\n\nAll about this site")
         assert list(got.values()).count("Not found") == 1 and got == dict(zip([r[0] for r in rows], h.extract([r[2] or "" for r in rows[:51]]) + h.extract([rows[51][2]]) + h.extract([rows[52][2]]), strict=True))
+
+
+def test_words_of_class_names_inside_an_article():
+    inside = "<article><h1>Market</h1><div class='share-of-market'><p>share prices rose</p></div><div class='social-share-box'>Share this</div><p hidden>kept</p><p style='display:none'>kept, too</p><div class='ad'>Buy</div><ul id='comments-list'><li>nice</li></ul><p class='formal'>End</p></article>"
+    assert h.extract([f"<html><body><div class='share-of-market'>Outside</div>{inside}</body></html>"]) == ["Market\n\nshare prices rose\n\nkept\n\nkept, too\n\nEnd"]
+
+
+def test_meaningless_class_names_and_no_semantic_tags():
+    """Only what varies tells the article from the rest; every page is like a brute-force reading of what stands on all pages."""
+    bodies = [[f"Title {k}", *[f"Line {k} {j} of the story" for j in range(1 + k % 4)]] for k in range(9)]
+    menu, foot = ["Home", "News", "All topics"], ["Imprint", "Made by us"]
+    html = ["<html><body><div class='x1'>" + "".join(f"<div class='q'>{m}</div>" for m in menu) + f"</div><div class='x2'><div class='t'>{b[0]}</div>" + "".join(f"<div class='u'>{x}</div>" for x in b[1:]) + "</div><div class='x3'>" + "".join(f"<div class='v'>{x}</div>" for x in foot) + "</div></body></html>" for b in bodies]
+    everywhere = set.intersection(*(set(re.findall(r">([^<>]+)<", x)) for x in html))
+    assert everywhere == {*menu, *foot}
+    assert h.extract(html) == ["\n\n".join(x for x in re.findall(r">([^<>]+)<", page) if x not in everywhere) for page in html]
