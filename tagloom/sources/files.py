@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -198,6 +199,27 @@ def extract(df: DataFrame, defs: list) -> DataFrame:
     return rows.select("item_id", "type", *LABELS.values())
 
 
+def of_file(read: Callable[[str], object], kind: str = "string") -> Callable:
+    """An extract hook from a function of one file's path, which may read the file, in the tasks, Arrow batches at a time.
+
+    Of a list the first value that is not empty is the label; a file that cannot be read has none.
+    """
+
+    def one(path: str):
+        try:
+            found = read(path)
+        except OSError:
+            return None
+        return next((v for v in found if v not in (None, "")), None) if isinstance(found, (list, tuple)) else found
+
+    def labels(paths: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in paths:
+            yield some.map(one, na_action="ignore")
+
+    column = F.pandas_udf(labels, {"integer": "long"}.get(kind, kind))
+    return lambda df: column(F.when(~F.col("is_dir"), F.col("path")))
+
+
 #: Media types by extension, for the sample hook; fixed values.
 MIME_TYPES = {"txt": "text/plain", "md": "text/markdown", "html": "text/html", "csv": "text/csv", "json": "application/json", "pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "mp3": "audio/mpeg", "mp4": "video/mp4", "rs": "text/x-rust", "py": "text/x-python"}
 

@@ -19,7 +19,7 @@ from tagloom.plans.compiler import Engine
 from tagloom.plans.literals import BLOCK, glob_regex
 from tagloom.plans.syntax import QueryError
 from tagloom.sources.cache import ResultCache
-from tagloom.sources.files import extract, mimetype, scan_tree
+from tagloom.sources.files import extract, mimetype, of_file, scan_tree
 from tagloom.streaming.watch import watch
 
 from .helpers import names, tree
@@ -242,3 +242,13 @@ def test_display():
     assert [display.size(n) for n in (0, 1023, 1024, 1536, 5 << 30)] == ["0B", "1023B", "1.00KB", "1.50KB", "5.00GB"]
     assert display.value(None) == "NULL" and display.value(3.0) == "3" and display.value(0, TagDef("t", "integer", date=True), "iso") == "1970-01-01T00:00:00Z"
     assert display.table([{"a": 1, "b": "xx"}], ["a", "b"]) == "a  b\n1  xx"
+
+
+def test_labels_read_from_files(spark, tmp_path):
+    for name, text in (("a.txt", "\nfirst\nsecond\n"), ("b.txt", ""), ("c.txt", "only")):
+        (tmp_path / name).write_text(text)
+    files = scan_tree(spark, [str(tmp_path)]).withColumn("item_id", F.monotonically_increasing_id())
+    lost = files.where("filename = 'c.txt'").withColumn("path", F.lit("/no/such/file"))
+    rows = extract(files.unionByName(lost), [TagDef("line", extract=of_file(lambda p: open(p).read().split("\n"))), TagDef("length", "integer", extract=of_file(lambda p: len(open(p).read()), "integer"))])
+    got = sorted((r.type, r.label_str or r.label_int or 0) for r in rows.collect())
+    assert got == [("length", 0), ("length", 4), ("length", 14), ("line", "first"), ("line", "only")]
