@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
@@ -13,6 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.merge import shared_folder
+
 #: Rows and bytes of one Arrow batch sent to Python; a batch of long texts stays small.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
@@ -39,9 +40,11 @@ def tidied(run: Callable) -> Callable:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches that Python operators receive."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Bound the Arrow batches that Python operators receive. Plans read these settings when they run, so they stay with the session; smaller ones of its own are kept."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name, "0")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
     return spark
 
 
@@ -50,12 +53,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path under spark.checkpoint.dir; only where that is unset (tests), under an own temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tagloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tagloom/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the folder that the driver and all executors share."""
+    return f"{shared_folder(spark)}/tagloom/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:

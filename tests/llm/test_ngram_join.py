@@ -105,3 +105,32 @@ def test_rows_without_a_doc_id_link_and_one_of_each_stays(spark):
     assert got == sorted([(1, 196, 1), (3, 196, 1), (None, 196, 1), (None, 196, 1), (None, 1, None), (None, 1, None), (None, 0, None)], key=str)
     stay = sorted(map(tuple, j.one_of_each(df).collect()), key=str)
     assert stay == sorted([(1, text(0)), (7, "other text " * 9), (None, "only here one"), (None, " "), (8, ""), (9, "twice the same")], key=str)
+
+
+def test_clashing_columns_hot_signatures_and_large_families(spark, monkeypatch):
+    for name, value in (("HOT", 2), ("FAMILY", 3), ("SEEN", 4), ("ROWS", 60)):
+        monkeypatch.setattr(j, name, value)
+    rng = np.random.default_rng(9)
+    base, passage = [f"w{k}" for k in range(120)], [f"p{k}" for k in range(80)]
+    texts = [" ".join(edited(rng, base, int(rng.integers(0, 6)))) for _ in range(30)]
+    texts += [" ".join([*passage, *(f"u{k}x{i}" for i in range(12 + k))]) for k in range(25)]
+    docs = list(enumerate([*texts, *texts[:10], None, "", "a b"]))
+    df = spark.createDataFrame([(*r, 1, "h", 2, 3, "root") for r in docs], "doc_id long, text string, id int, h string, n int, __id int, root string")
+    want = brute(docs)
+    assert sorted(tuple(r) for r in j.near_duplicates(df).collect()) == want
+    one = j.one_of_each(df)
+    assert one.columns == df.columns
+    assert {r.doc_id for r in one.collect()} == {a for a, n, c in want if n == 0 or a == c}
+
+
+@given(st.integers(0, 2**32))
+@settings(max_examples=100, deadline=None)
+def test_the_rarest_shared_signature_is_left(seed):
+    rng = np.random.default_rng(seed)
+    frequency = rng.zipf(1.3, 60)
+    n = int(rng.integers(4, 60))
+    need = j.need(-(-4 * n // 5))
+    shared = rng.choice(60, min(60, need), replace=False)
+    sides = [np.union1d(shared, rng.choice(60, int(rng.integers(0, 20)))) for _ in range(2)]
+    left = [set(sorted(s.tolist(), key=lambda k: (-frequency[k], k))[need - 1 :]) for s in sides]
+    assert left[0] & left[1]
