@@ -168,13 +168,16 @@ class Space:
         self.frame = self.frame.join(ids.select("item_id").distinct().withColumn(name, F.lit(True)), "item_id", "left")
         return F.col(name).isNotNull()
 
-    def verdict(self, keys: list[Column], groups: DataFrame) -> Column:
-        """Whether an item's keys are among the rows of groups: the groups are joined to the items, not to another scan of them."""
-        names = [self._name() for _ in keys]
-        hit = self._name()
-        rows = groups.toDF(*names).distinct().withColumn(hit, F.lit(True))
+    def lookup(self, keys: list[Column], groups: DataFrame) -> Column:
+        """The last column of groups, whose others are the keys, on every item: groups are joined to the items, not to another scan of them."""
+        names, got = [self._name() for _ in keys], self._name()
+        rows = groups.toDF(*names, got)
         self.frame = self.frame.select("*", *(k.alias(n) for k, n in zip(keys, names, strict=True))).join(rows, names, "left").drop(*names)
-        return F.col(hit).isNotNull()
+        return F.col(got)
+
+    def verdict(self, keys: list[Column], groups: DataFrame) -> Column:
+        """Whether an item's keys are among the rows of groups."""
+        return self.lookup(keys, groups.distinct().withColumn("__hit", F.lit(True))).isNotNull()
 
     def scalar(self, one: DataFrame) -> Column:
         """The value of a one-row table, on every item."""
@@ -893,18 +896,28 @@ class Engine:
         verdict = reduce(lambda a, b: a & b, verdicts)
         frame = inner.frame.where(cond)
         passed = frame.groupBy(*names).agg(*aggs or [F.count(F.lit(1)).alias("__c")]).where(verdict).select(*names)
-        if all(not isinstance(k, (Tag, Pattern)) or self.catalog.get(k.type).column for k in s.keys):
+        if self.wide(s.keys):
             # Keys that the item table holds: the verdict goes back by them.
             inside = reduce(lambda a, b: a & b, [self.items(c, space) for c in context], F.lit(True))
             return inside & space.verdict([self.number(k, space)[0] for k in s.keys], passed)
         return space.flag(frame.select("item_id", *names).join(passed, names, "left_semi"))
 
+    def wide(self, keys: tuple) -> bool:
+        """Whether the item table has one value of each key for each item."""
+        return all(not isinstance(k, (Tag, Pattern)) or self.catalog.get(k.type).column for k in keys)
+
     def across(self, a, op: str, b, space: Space) -> Column:
         """Groupings with different keys compare on the items that they share."""
         nests = list(dict.fromkeys((*_nests(a), *_nests(b))))
-        per = None
-        for i, n in enumerate(nests):
-            s = self.spec(n)
+        specs = [self.spec(n) for n in nests]
+        per, columns = None, None
+        if all(s.value is not None and s.keys and self.wide(s.keys) for s in specs):
+            columns = []
+            for s in specs:
+                g, names = self.table(s)
+                inside = reduce(lambda u, v: u & v, [self.items(c, space) for c in s.context], F.lit(True))
+                columns.append(F.when(inside, space.lookup([self.number(k, space)[0] for k in s.keys], g.select(*names, "nvalue"))))
+        for i, s in enumerate(specs if columns is None else ()):
             if s.value is None:
                 raise QueryError("groupings with different keys need values to compare")
             g, names = self.table(s)
@@ -915,12 +928,14 @@ class Engine:
 
         def value(y):
             if isinstance(y, Nest):
-                return F.col(f"__v{nests.index(y)}"), "double"
+                return (columns[nests.index(y)] if columns else F.col(f"__v{nests.index(y)}")), "double"
             if isinstance(y, Calc):
                 (u, uk), (v, vk) = value(y.left), value(y.right)
                 return _arithmetic(y.op, u, uk, v, vk)
             return self._value(y, None)
 
+        if columns:
+            return compare(value(a)[0], op, value(b)[0])
         return space.flag(per.where(compare(value(a)[0], op, value(b)[0])))
 
     # --- Scalars -----------------------------------------------------------------------------------------------------
