@@ -40,11 +40,9 @@ def tidied(run: Callable) -> Callable:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches that Python operators receive. Plans read these settings when they run, so they stay with the session; smaller ones of its own are kept."""
-    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = spark.conf.get(name, "0")
-        if not (now.isdigit() and 0 < int(now) <= most):
-            spark.conf.set(name, str(most))
+    """Bound the Arrow batches that Python operators receive. Plans read these settings when they run, so they stay with the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
