@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, free, materialize, prepare, table, text_bytes, tidied, word_hashes, word_spans
 
-WINDOW, SHARD, STEP, BLOCK_WORDS = 13, 4 << 20, 8, 1_000_000
+WINDOW, SHARD, STEP, BLOCK_WORDS = 13, 3 << 20, 8, 1_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

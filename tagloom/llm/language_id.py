@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, prepare, table, text_bytes, tidied
+from .common import mix, prepare, table, text_bytes, tidied, tidy
 
 ORDERS, BUCKETS, DIM = (2, 3, 4), 1 << 16, 16
 #: Bounds of the training sample: texts a language, and in all. A bag has at most BUCKETS entries, whatever its text's length.
@@ -167,7 +167,10 @@ def fit(docs: DataFrame) -> Model | None:
 
     prepare(docs.sparkSession)
     rows = picked.select("lang", "text").mapInArrow(bags, "lang string, idx binary, share binary").toPandas().sort_values(["idx", "share", "lang"], kind="stable")
-    return train([(np.frombuffer(i, "<u2").astype(np.int64), np.frombuffer(x, "<f4")) for i, x in zip(rows["idx"], rows["share"], strict=True)], list(rows["lang"]))
+    model = train([(np.frombuffer(i, "<u2").astype(np.int64), np.frombuffer(x, "<f4")) for i, x in zip(rows["idx"], rows["share"], strict=True)], list(rows["lang"]))
+    del rows
+    tidy()
+    return model
 
 
 PREDICTION = "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean"

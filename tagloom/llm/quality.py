@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare, table, text_bytes, tidied, word_hashes, word_spans
+from .common import prepare, table, text_bytes, tidied, tidy, word_hashes, word_spans
 
 GRADES, GOOD = 3, 2
 BUCKETS = 1 << 18
@@ -184,7 +184,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     del rows
     n = np.bincount(grades, minlength=GRADES)
     weight = np.array([counts.get(k, 0) / max(1, n[k]) for k in range(GRADES)])[grades]
-    return train(bags_, grades, weight)
+    model = train(bags_, grades, weight)
+    del bags_
+    tidy()
+    return model
 
 
 SCORED = {"expected_grade": "double", "p_not_toxic": "double", "p_good": "double", "keep": "boolean"}

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import chunks, partitions, prepare, scratch, table, tidied
 
 SEGMENT = 1 << 18
-CHUNK = 6 << 20  # bytes of texts that are encoded together
+CHUNK = 4 << 20  # bytes of texts that are encoded together
 BLOCK = 512
 MAGIC = b"DAC1"
 
@@ -127,7 +127,7 @@ class PieceEncoder:
     the parts that were used last stay.
     """
 
-    KEEP, LONGEST = 500_000, 48
+    KEEP, LONGEST = 300_000, 48
     #: Characters of the parts that are encoded as one text.
     TOGETHER = 20_000
 
